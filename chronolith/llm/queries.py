@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, sharding, warc
+from . import line_dedup, minhash, mixing, sharding, warc
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -32,12 +32,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
     return out.select("doc_id", "bytes", "depth", "prefix", "shard_bytes", "shard_docs", "oversize")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_mixing, op8_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_mixing, op8_warc, op9_minhash, op10_sharding)}
 
 SQL = {
     "op5_line_dedup": r"""
@@ -91,6 +95,27 @@ g AS (
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM g""",
+    "op9_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 4 THEN array_to_string(words, ' ')
+         ELSE array_to_string(words[i : i + 3], ' ') END AS sh
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+r AS (
+  SELECT x AS node, least(x, y) AS comp FROM l
+  UNION
+  SELECT l.y, r.comp FROM r JOIN l ON l.x = r.node),
+m AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.comp, d.doc_id) AS component_id,
+       d.doc_id = coalesce(m.comp, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = d.doc_id""",
     "op10_sharding": rf"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM documents),
