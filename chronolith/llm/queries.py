@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, sharding, warc
+from . import language, line_dedup, minhash, mixing, sharding, token_files, warc
 from .common import table
 
 SHARD_BYTES = 8 << 20
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_tokens(table(spark, sf_dir, "documents"))
+    return token_files.read_tokens(spark, path)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(
@@ -26,6 +31,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(table(spark, sf_dir, "pages"))
     out = warc.read_archive(spark, path)
@@ -41,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bytes", "depth", "prefix", "shard_bytes", "shard_docs", "oversize")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_mixing, op8_warc, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op4_token_files, op5_line_dedup, op6_mixing, op7_language, op8_warc, op9_minhash, op10_sharding)}
 
 SQL = {
     "op5_line_dedup": r"""
