@@ -112,7 +112,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     bounds = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", at, 0.01)}, reverse=True)
     batch = sum((F.when(F.col("doc") < b, 1).otherwise(0) for b in bounds), F.lit(0))
     keys = staged(line_keys(docs, min_chars).withColumn("batch", batch), "line-keys")
-    hot = repeated_lines(keys, bounds, min_docs, fan_out)
+    # Staged, so that both sides of the next join are shuffled and a key of very many lines can be split there.
+    hot = staged(repeated_lines(keys, bounds, min_docs, fan_out), "repeated-lines")
     gone = (
         keys.join(hot, KEY)
         .where(F.col("doc") != F.col("last_doc"))
