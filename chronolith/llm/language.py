@@ -168,26 +168,42 @@ def learn(labelled: DataFrame, per_language: int = 4000, most_words: int = 150_0
     return Model(sorted(counts), _frequent(of_words, most_words, 2), _frequent(of_grams, most_grams, 2))
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: list[Scorer] = []
+
+
+def scorer_of(model: Model) -> Scorer:
+    """One scorer a worker, kept while tasks use the same model."""
+    if not _scorers or _scorers[0].model is not model:
+        _scorers[:] = [Scorer(model)]
+    return _scorers[0]
 
 
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = _scorers.get(id(model))
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[id(model)] = Scorer(model)
-        at = "text"
+        scorer = scorer_of(shared.value)
+        for b in by_batch(batches, 1024):
+            found = [scorer(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return run
+
+
+def _kept(shared, at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(shared.value)
         for b in by_batch(batches, 1024):
             found = [scorer(t) for t in b.column(at).to_pylist()]
-            rest = [b.column(i) for i, name in enumerate(b.schema.names) if name != at]
-            names = [name for name in b.schema.names if name != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
+            yield b.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
 
     return run
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_kept(shared, docs.columns.index("text"), least), docs.schema)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]

@@ -174,3 +174,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, se
         .join(F.broadcast(plan.select("pattern", "source_size", "target", "quota")), "pattern")  # MOST_PATTERNS rows at most
         .select("doc_id", "source", "size", "copies", "source_size", "target", "quota")
     )
+
+
+def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it."""
+    times = mixed.where("copies > 0").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__doc")) & docs["source"].eqNullSafe(F.col("__source"))
+    return docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, minhash, mixing, sharding, token_files, warc
+from . import decontaminate, language, line_dedup, minhash, mixing, sharding, token_files, topk, warc
 from .common import table
 
 SHARD_BYTES = 8 << 20
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_tokens(table(spark, sf_dir, "documents"))
     return token_files.read_tokens(spark, path)
@@ -50,9 +59,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bytes", "depth", "prefix", "shard_bytes", "shard_docs", "oversize")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op5_line_dedup, op6_mixing, op7_language, op8_warc, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_topk, op4_token_files, op5_line_dedup, op6_mixing, op7_language, op8_warc, op9_minhash, op10_sharding)}
 
 SQL = {
+    "op3_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         list_sum(list_transform(list_zip(q.c, d.c), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::BIGINT AS score
+  FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op5_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
