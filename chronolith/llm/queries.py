@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, minhash, mixing, sharding, token_files, topk, warc
+from . import decontaminate, language, line_dedup, minhash, mixing, sharding, substrings, token_files, topk, warc
 from .common import table
 
 SHARD_BYTES = 8 << 20
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
@@ -59,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "bytes", "depth", "prefix", "shard_bytes", "shard_docs", "oversize")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_topk, op4_token_files, op5_line_dedup, op6_mixing, op7_language, op8_warc, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_topk, op4_token_files, op5_line_dedup, op6_mixing, op7_language, op8_warc, op9_minhash, op10_sharding)}
 
 SQL = {
     "op3_topk": r"""
