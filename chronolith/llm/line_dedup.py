@@ -24,6 +24,7 @@ from .common import new_path, shuffle_width, staged
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
+RUN = "h1 bigint, h2 bigint, n_docs bigint, last_doc bigint"
 #: Stands for a null doc_id.
 NO_DOC = -(2**63)
 
@@ -52,20 +53,22 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 class Runs:
     """Levelled sorted runs. Each run is an external table in the shared folder, bucketed and sorted by key,
-    so that anti-joins and compactions of runs are merge joins without a shuffle."""
+    so that anti-joins with runs are merge joins that shuffle the new batch only."""
 
     def __init__(self, spark, fan_out: int, min_docs: int):
         self.spark, self.fan_out, self.min_docs = spark, fan_out, min_docs
         self.buckets = shuffle_width(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def write(self, df: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, "runs")
         (
             df.repartition(self.buckets, *KEY)
             .write.bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
-            .option("path", new_path(self.spark, "runs"))
+            .option("path", self.paths[name])
             .saveAsTable(name)
         )
         while len(self.levels) <= level:
@@ -81,7 +84,9 @@ class Runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {n}")
 
     def merged(self, names: list[str]) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
+        # Read as files: Spark 4.1 takes a union of bucketed scans to be dealt by bucket, and then doesn't bring
+        # the same key of two runs together.
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(RUN).parquet(self.paths[n]) for n in names])
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def names(self) -> list[str]:
@@ -109,7 +114,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     everywhere but in the largest doc_id. The bounds of the batches only steer the work, not the result."""
     docs = docs.select("doc_id", "text")
     at = [i / batches for i in range(1, batches)]
-    bounds = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", at, 0.01)}, reverse=True)
+    found = docs.agg(F.percentile_approx("doc_id", at, 1000)).first()[0] if at else None
+    bounds = sorted(set(found or []), reverse=True)
     batch = sum((F.when(F.col("doc") < b, 1).otherwise(0) for b in bounds), F.lit(0))
     keys = staged(line_keys(docs, min_chars).withColumn("batch", batch), "line-keys")
     # Staged, so that both sides of the next join are shuffled and a key of very many lines can be split there.
