@@ -9,8 +9,11 @@ from rare to frequent values and posts only the first coords - matches + 1, whic
 agreements can both avoid; the frequent rest is skipped, and counted only for pairs that meet in a prefix.
 
 Lists don't give all their pairs. First each list ties its members to two hubs, the links found are merged
-into components, and lists that lie in one component are done. From the others only pairs of different
-components are still tried, so that no component is missed and a group of n near copies costs n pairs.
+into components, and lists that lie in one component are done. Of the others, short lists give their pairs of
+different components. Long lists that share members form clusters; in each, the documents outside the largest
+component (the strays) are compared with all by blocks: a task has one block of strays and one of the cluster,
+intersects their full sets, and returns only links that join components. So no component is missed, and n near
+copies cost n pairs and blocks of their strays.
 
 Rules for odd input: a null or blank text has an empty set and is linked with nothing. A null doc_id takes no
 part: its component_id is null and it is kept. Rows that share a doc_id are one document of several texts: they
@@ -23,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,6 +36,9 @@ from pyspark.sql.window import Window
 from .common import U64, by_batch, mix, odd_constants, shingles, staged, word_ids
 from .graph import components
 
+#: Lists of more members are compared by blocks instead of by pairs.
+LONG_LIST = 32
+
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingles(word_ids(text), width))
@@ -133,11 +140,15 @@ def hub_pairs(posts: DataFrame) -> DataFrame:
     return each.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
-def open_pairs(posts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs from the lists whose members are in different components."""
+def open_lists(posts: DataFrame, comps: DataFrame) -> DataFrame:
+    """posts with component and n (members of the list), of the lists whose members are in different components."""
     posts = posts.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = posts.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-    posts = staged(posts.join(open_, "token", "left_semi"), "open-posts")
+    lists = posts.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n"))
+    return staged(posts.join(lists.where("c1 <> c2").select("token", "n"), "token"), "open-posts")
+
+
+def open_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components from the same list; the lists are short."""
     x = posts.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "component")])
     y = posts.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "component")])
     alike = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
@@ -149,6 +160,59 @@ def open_pairs(posts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _blocks_linked(percent: int):
+    def run(key, strays: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        """One link for each stray and component of the others that it belongs to."""
+        out = []
+        if len(strays) and len(others):
+            sets = [np.frombuffer(x, U64) for x in strays["items"]]
+            sizes = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            ids, comps = strays["doc_id"].to_numpy(), strays["component"].to_numpy()
+            seen: set = set()
+            for doc, comp, items in zip(others["doc_id"], others["component"], others["items"], strict=True):
+                y = np.frombuffer(items, U64)
+                lo, hi = np.searchsorted(flat, y, "left"), np.searchsorted(flat, y, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(sets))
+                for i in np.flatnonzero(100 * common >= percent * (sizes + len(y) - common)):
+                    if comps[i] != comp and (i, comp) not in seen:
+                        seen.add((i, comp))
+                        out.append((min(ids[i], doc), max(ids[i], doc)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def cluster_links(posts: DataFrame, docs: DataFrame, width: int, percent: int, strays_at_once: int = 128, others_at_once: int = 256) -> DataFrame:
+    """Links between components within clusters of long lists."""
+    hub = posts.groupBy("token").agg(F.min("doc_id").alias("a"))
+    clusters = components(posts.join(hub, "token").select("a", F.col("doc_id").alias("b"))).withColumnRenamed("component", "cluster")
+    members = posts.select("doc_id", "component").distinct().join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id"))
+    members = staged(members, "cluster-members")
+    largest = (
+        members.groupBy("cluster", "component")
+        .agg(F.count("*").alias("n"))
+        .groupBy("cluster")
+        .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+        .select("cluster", F.col("top.component").alias("main"), ((F.col("all") - F.col("top.n") - 1) / strays_at_once + 1).cast("int").alias("n_i"), ((F.col("all") - 1) / others_at_once + 1).cast("int").alias("n_j"))
+        .where(F.col("n_i") > 0)
+    )
+    sets = docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, items binary")
+    rows = staged(members.join(largest, "cluster").join(sets, "doc_id"), "cluster-sets")
+
+    def dealt(block: str, n: str, over: str, n_over: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int").alias(block)
+        return rows.where("component <> main" if block == "i" else "true").select("cluster", "doc_id", "component", "items", mine, F.explode(F.sequence(F.lit(0), F.col(n_over) - 1)).alias(over))
+
+    keys = ["cluster", "i", "j"]
+    strays, others = dealt("i", "n_i", "j", "n_j").groupBy(*keys), dealt("j", "n_j", "i", "n_i").groupBy(*keys)
+    return staged(strays.cogroup(others).applyInPandas(_blocks_linked(percent), "a bigint, b bigint").distinct(), "cluster-links")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coords: int = 64, matches: int = 32) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. Documents are linked when 100 times the
     common shingles reach `percent` times the shingles of both."""
@@ -172,8 +236,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coords:
     args = (docs, sketches, width, matches, percent)
     first = staged(hub_pairs(posts), "hub-pairs")
     links = confirmed(first, *args)
-    more = open_pairs(posts, components(links), percent).join(first, ["a", "b"], "left_anti")
+    posts = open_lists(posts, components(links))
+    more = open_pairs(posts.where(F.col("n") <= LONG_LIST), percent).join(first, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(more, *args)).unionByName(tied)
+    links = links.unionByName(cluster_links(posts.where(F.col("n") > LONG_LIST), docs, width, percent))
     comp = components(links)
     return (
         all_.select("doc_id", "n_shingles", "f1", "f2")
