@@ -98,8 +98,9 @@ def near_truth(rows, width, percent=80):
     return sorted(((d, len(s), None if d is None else root(d) if s else d) for d, s in sets), key=str)
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_copies(spark, width):
+@pytest.mark.parametrize("width, long_list", [(4, 32), (5, 4), (5, 1)])
+def test_near_copies(spark, width, long_list, monkeypatch):
+    monkeypatch.setattr(minhash, "LONG_LIST", long_list)
     rng = random.Random(5)
     rows = []
     for g in range(12):
@@ -109,6 +110,12 @@ def test_near_copies(spark, width):
             for _ in range(rng.randint(0, max(1, len(base) // 60))):
                 w[rng.randrange(len(w))] = words(rng, 1)
             rows.append((len(rows) + 20, " ".join(w)))
+    base = words(rng, 60).split()
+    for i in range(70):  # about half of these pairs are linked
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        rows.append((300 + i, " ".join(w)))
     passage = words(rng, 50)
     rows += [(200 + i, f"{words(rng, 30)} {passage} {words(rng, 30)}") for i in range(20)] + odd_rows(rng)
     got = minhash.near_duplicates(table(spark, rows), width=width)
