@@ -45,7 +45,7 @@ def targets(sizes: Sequence[float], weights: Sequence[float], most: float = 3.0)
                 out[i] = left * weights[i] / w
             break
         for i in over:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
         left -= sum(out[i] for i in over)
         open_ = [i for i in open_ if i not in set(over)]
     return out
