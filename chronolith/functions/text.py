@@ -150,7 +150,7 @@ def cleaned_message(text: Column, comments: bool = True) -> Column:
 
 def trailers(message: Column) -> Column:
     """[(key, value)] of the last paragraph, if each of its lines is a trailer or goes on from one."""
-    last = F.regexp_extract(F.rtrim(F.regexp_replace(message, r"\s+$", "")), r"(?s)(?:^|.*\n[ \t]*\n)(.*)$", 1)
+    last = F.regexp_extract(F.rtrim(F.regexp_replace(message, r"\s+$", "")), r"(?s)^(?:.*\n[ \t]*\n)?(.*)$", 1)
     folded = F.regexp_replace(last, r"\n[ \t]+", " ")
     lines = F.split(folded, "\n")
     shape = r"^([A-Za-z0-9-]+)[ \t]*:[ \t]*(.*)$"
