@@ -97,7 +97,7 @@ def _linked(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, matches: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity: first by sizes and signatures, then by sets."""
     x = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     y = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
@@ -105,8 +105,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, width: int
         (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect("sa", "sb")) >= matches)
     )
     near = staged(near.select("a", "b").distinct(), "near-pairs")
-    wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, items binary"), "near-sets")
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b"
     )
@@ -187,7 +185,7 @@ def _blocks_linked(percent: int):
     return run
 
 
-def cluster_links(posts: DataFrame, docs: DataFrame, width: int, percent: int, strays_at_once: int = 128, others_at_once: int = 256) -> DataFrame:
+def cluster_links(posts: DataFrame, sets: DataFrame, percent: int, strays_at_once: int = 128, others_at_once: int = 256) -> DataFrame:
     """Links between components within clusters of long lists."""
     hub = posts.groupBy("token").agg(F.min("doc_id").alias("a"))
     clusters = components(posts.join(hub, "token").select("a", F.col("doc_id").alias("b"))).withColumnRenamed("component", "cluster")
@@ -201,7 +199,6 @@ def cluster_links(posts: DataFrame, docs: DataFrame, width: int, percent: int, s
         .select("cluster", F.col("top.component").alias("main"), ((F.col("all") - F.col("top.n") - 1) / strays_at_once + 1).cast("int").alias("n_i"), ((F.col("all") - 1) / others_at_once + 1).cast("int").alias("n_j"))
         .where(F.col("n_i") > 0)
     )
-    sets = docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, items binary")
     rows = staged(members.join(largest, "cluster").join(sets, "doc_id"), "cluster-sets")
 
     def dealt(block: str, n: str, over: str, n_over: str) -> DataFrame:
@@ -233,13 +230,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coords:
     sketches = alone.select("doc_id", "n_shingles", "sig")
     posts = staged(postings(sketches, coords, matches), "postings")
     sketches = staged(sketches.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"), "posted")
-    args = (docs, sketches, width, matches, percent)
+    # The texts are shuffled once: the full sets of all documents that may have a partner.
+    sets = docs.join(posts.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, items binary")
+    sets = staged(sets, "posted-sets")
+    args = (sets, sketches, matches, percent)
     first = staged(hub_pairs(posts), "hub-pairs")
     links = confirmed(first, *args)
     posts = open_lists(posts, components(links))
     more = open_pairs(posts.where(F.col("n") <= LONG_LIST), percent).join(first, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(more, *args)).unionByName(tied)
-    links = links.unionByName(cluster_links(posts.where(F.col("n") > LONG_LIST), docs, width, percent))
+    links = links.unionByName(cluster_links(posts.where(F.col("n") > LONG_LIST), sets, percent))
     comp = components(links)
     return (
         all_.select("doc_id", "n_shingles", "f1", "f2")
