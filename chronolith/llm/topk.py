@@ -9,7 +9,7 @@ k-th are still scored. Tasks are pairs of a query group and a block group, both
 k are merged by query.
 
 Rules for odd input: a vector that is null or holds a null or non-finite component takes no part, nor does a
-null vec_id. Vectors of different lengths are taken as if padded with zeros. Rows that share a vec_id: as a
+null vec_id, nor one with a component of more than 10^17 / 64, which doesn't fit 64-bit sums. Vectors of different lengths are taken as if padded with zeros. Rows that share a vec_id: as a
 candidate each row counts; as a query the least vector by order of components is taken, and all rows with its
 id are left out. Ties go to the smaller vec_id. An empty table, or one without queries, gives no rows.
 Column names other than vec_id and embedding are free.
