@@ -113,3 +113,48 @@ def geometry(packs: DataFrame, factor: int = 2) -> DataFrame:
     rows = packs.withColumn("before", before).withColumn("place", F.row_number().over(up))
     bad = F.max(F.when((F.col("before") > 0) & (F.col("objects") < factor * F.col("before")), F.col("place"))).over(Window.partitionBy("repo"))
     return rows.withColumn("split", F.coalesce(bad, F.lit(0))).select("repo", "pack", "objects", (F.col("place") <= F.col("split")).alias("roll_up"))
+
+
+def moved_lines(changes: DataFrame, least: int = 2) -> DataFrame:
+    """changes: (file, side, line_no, line), side 'old' for deleted and 'new' for added lines. Blocks of at least
+    `least` lines that went from one place to another: (old_file, new_file, old_start, new_start, lines). Lines pair
+    up by their text without white space where it is unique on both sides; runs on one diagonal are blocks."""
+    key = F.regexp_replace("line", r"\s+", "")
+    rows = changes.withColumn("key", F.xxhash64(key)).where(key != "")
+
+    def once(side: str) -> DataFrame:
+        mine = rows.where(F.col("side") == side).groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("file", "line_no")).alias("at")).where("n = 1")
+        return mine.select("key", F.col("at.file").alias(f"{side}_file"), F.col("at.line_no").alias(f"{side}_line"))
+
+    pairs = once("old").join(once("new"), "key").withColumn("diagonal", F.col("new_line") - F.col("old_line"))
+    runs = islands(pairs, ["old_file", "new_file"], "old_line", ["diagonal"])
+    return runs.where(F.col("count") >= least).select("old_file", "new_file", F.col("first").alias("old_start"), (F.col("first") + F.col("diagonal")).alias("new_start"), F.col("count").alias("lines"))
+
+
+def recorded_resolutions(conflicts: DataFrame, records: DataFrame) -> DataFrame:
+    """conflicts (id, ours, theirs) joined with records (ours, theirs, resolution): the key is the hash of both sides
+    in byte order, so either direction of a merge finds the record."""
+
+    def key() -> Column:
+        return F.sha1(F.concat_ws("\x00", F.least("ours", "theirs"), F.greatest("ours", "theirs"))).alias("key")
+
+    known = records.select(key(), "resolution").groupBy("key").agg(F.min("resolution").alias("resolution"))
+    return conflicts.select("id", key()).join(known, "key", "left").select("id", "resolution")
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """What a monitor reports between two snapshots: added, changed and removed keys."""
+    both = before.select(*keys, F.col(value).alias("__b")).join(after.select(*keys, F.col(value).alias("__a")), list(keys), "full_outer")
+    kind = F.when(F.col("__b").isNull(), "added").when(F.col("__a").isNull(), "removed").when(F.col("__a") != F.col("__b"), "changed")
+    return both.select(*keys, kind.alias("change")).where("change IS NOT NULL")
+
+
+def best_url(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (url) with the most specific of rules (prefix, value): same scheme and host, longest path that is a whole
+    prefix of the url's. An equi-join on scheme and host."""
+    parts = lambda c: F.regexp_extract(c, r"^([a-z]+://[^/]*)", 1)
+    asked = urls.select("url", parts("url").alias("site"))
+    known = rules.select(parts("prefix").alias("site"), F.regexp_replace("prefix", "/+$", "").alias("prefix"), "value")
+    fits = (F.col("url") == F.col("prefix")) | F.col("url").startswith(F.concat("prefix", F.lit("/")))
+    hits = asked.join(known, "site").where(fits)
+    return asked.select("url").join(hits.groupBy("url").agg(F.max_by("value", F.length("prefix")).alias("value")), "url", "left")

@@ -178,3 +178,36 @@ def ordered(commits: DataFrame, generation: DataFrame) -> DataFrame:
     """A topological order: place by descending generation, then newest first, then oid; parents follow children."""
     rows = commits.join(generation, "oid")
     return rows.orderBy(F.desc("generation"), F.desc("committed"), "oid")
+
+
+def combined_changes(commits: DataFrame, trees: DataFrame) -> DataFrame:
+    """(commit_oid, path) of merges whose entry differs from that of every parent."""
+    pairs = edges(commits.where("parent2 IS NOT NULL")).select(F.col("child").alias("commit_oid"), "pos", F.col("parent").alias("parent_oid"))
+    mine = pairs.join(trees.select("commit_oid", "path", F.col("oid").alias("new")), "commit_oid")
+    theirs = pairs.join(trees.select(F.col("commit_oid").alias("parent_oid"), "path", F.col("oid").alias("old")), "parent_oid")
+    both = mine.join(theirs, ["commit_oid", "pos", "parent_oid", "path"], "full_outer").where("NOT (new <=> old)")
+    return both.groupBy("commit_oid", "path").agg(F.count("*").alias("n")).where("n = 2").select("commit_oid", "path")
+
+
+def path_walk(trees: DataFrame) -> DataFrame:
+    """Objects grouped by the first path that reaches them: (path, objects)."""
+    first = trees.groupBy("oid").agg(F.min("path").alias("path"))
+    return first.groupBy("path").agg(F.count("*").alias("objects"))
+
+
+def rebase_plan(commits: DataFrame, changes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges: (key, side, oid) with side 'ours' or 'upstream'. Our commits, merges left out, whose patch (the set of
+    their path changes, whatever the order) no upstream commit of the key has."""
+    patch = changes.groupBy(F.col("commit_oid").alias("oid")).agg(F.sha1(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws("|", "path", "status", F.coalesce("old_oid", F.lit("")), F.coalesce("new_oid", F.lit(""))))))).alias("patch"))
+    known = ranges.join(patch, "oid", "left")
+    ours = known.where("side = 'ours'").join(commits.where("parent2 IS NULL").select("oid"), "oid", "left_semi")
+    theirs = known.where("side = 'upstream' AND patch IS NOT NULL").select("key", "patch").distinct()
+    return ours.join(theirs, ["key", "patch"], "left_anti").select("key", "oid", "patch")
+
+
+def replaced(rows: DataFrame, replacements: DataFrame, depth: int = 5) -> DataFrame:
+    """rows (oid, ...) with oid replaced by what replacements (oid, by_oid) say, again and again, `depth` times at most."""
+    for _ in range(depth):
+        step = replacements.select("oid", F.col("by_oid").alias("__by"))
+        rows = rows.join(step, "oid", "left").withColumn("oid", F.coalesce("__by", "oid")).drop("__by").select(*rows.columns)
+    return rows

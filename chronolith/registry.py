@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable[[Callable], Callable]:
     return register
 
 
-from .queries import content, graph, messages, references, streams  # noqa: E402,F401  they register themselves
+from .queries import content, graph, messages, more, references, streams  # noqa: E402,F401  they register themselves
