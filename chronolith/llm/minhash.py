@@ -3,7 +3,7 @@
 A document is the set of its distinct word shingles. Documents with the same set are one class and go on as
 their smallest doc_id. Each class posts itself under (coordinate, value) pairs of its signature of `coords`
 min-hashes. Two sets of Jaccard similarity s agree in a Binomial(coords, s) number of coordinates; pairs with
-`matches` agreements at least are candidates (64 and 32: at s = 0.8 one pair in 10^8 has fewer), and a link is
+`matches` agreements at least are candidates (64 and 32: at s = 0.8 one pair in 5 x 10^7 has fewer), and a link is
 confirmed on the full sets. Prefix and skip merging keep the lists short: each class orders its coordinates
 from rare to frequent values and posts only the first coords - matches + 1, which no pair with `matches`
 agreements can both avoid; the frequent rest is skipped, and counted only for pairs that meet in a prefix.
