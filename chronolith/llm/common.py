@@ -49,7 +49,7 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash, filled on demand. It is emptied at `most` words so that a task's
     memory doesn't grow with the vocabulary."""
 
-    most = 1_000_000
+    most = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -111,7 +111,7 @@ class Model:
 class Scorer(dict):
     """word -> row of `logs`. Unseen words are given rows as they come; those are forgotten at `most`."""
 
-    most = 300_000
+    most = 200_000
 
     def __init__(self, model: Model):
         super().__init__(model.words)

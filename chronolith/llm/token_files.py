@@ -47,7 +47,7 @@ class Units(dict):
     """Text unit -> its ids as bytes, filled on demand. Units of the last two generations of `most` units each
     are remembered, so that frequent ones stay."""
 
-    most = 500_000
+    most = 300_000
 
     def __init__(self, encode, lead: str):
         super().__init__()
