@@ -196,6 +196,28 @@ def test_edited_passage():
     assert substrings.passages(x, y, [-10], 46, 80) == [(20, 96, 30, 106)]
 
 
+def test_passages_with_words_put_in_or_left_out():
+    """Whatever whole texts reach the similarity is found, both ways round."""
+    rng, tried = random.Random(5), 0
+    for n in (50, 56, 64, 80, 120):
+        for k in range(1, 21):
+            for at in (n // 4, n // 2, n - 12):
+                a = words(rng, n).split()
+                more, less = a[:at] + words(rng, k).split() + a[at:], a[:at] + a[at + k :]
+                for b in (more, less):
+                    x, y = (substrings.shingles(substrings.word_ids(" ".join(w)), 5) for w in (a, b))
+                    sx, sy = set(x.tolist()), set(y.tolist())
+                    if min(len(x), len(y)) >= 46 and 100 * len(sx & sy) >= 80 * len(sx | sy):
+                        tried += 1
+                        for p, q in ((x, y), (y, x)):
+                            got = substrings.passages(p, q, [0], 46, 80)
+                            assert got and all(min(v - u, z - s) >= 46 for u, v, s, z in got), (n, k, at, len(b))
+                            for u, v, s, z in got:
+                                i, j = set(p[u:v].tolist()), set(q[s:z].tolist())
+                                assert 100 * len(i & j) >= 80 * len(i | j)
+    assert tried > 100
+
+
 def test_no_passages(spark):
     assert substrings.repeated_passages(table(spark, [])).count() == 0
 
