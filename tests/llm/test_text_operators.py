@@ -196,6 +196,31 @@ def test_edited_passage():
     assert substrings.passages(x, y, [-10], 46, 80) == [(20, 96, 30, 106)]
 
 
+def test_passages_that_hold_a_frequent_line(spark):
+    """Two documents each share a passage round a line of very many documents, which are the hubs of its windows."""
+    rng = random.Random(11)
+    line = words(rng, 36)
+    rows = [(i, f"{words(rng, 60)} {line} {words(rng, 60)}") for i in range(200)]
+    for i in range(1000, 1060, 2):
+        passage = f"{words(rng, 12)} {line} {words(rng, 12)}"
+        rows += [(i + k, f"{words(rng, 60)} {passage} {words(rng, 60)}") for k in range(2)]
+    got = defaultdict(set)
+    for r in substrings.repeated_passages(table(spark, rows)).collect():
+        got[r["doc_id"]].update(range(r["start"], r["start"] + r["n_words"]))
+    assert set(got) == set(range(1000, 1060)) and all(set(range(60, 120)) <= x for x in got.values())
+
+
+def test_passages_by_blocks(spark):
+    rng = random.Random(12)
+    passage, rows = words(rng, 50), []
+    for i in range(40):
+        rows.append((i, words(rng, 30) + (f" {passage} " if i in (3, 17, 31) else " ") + words(rng, 40)))
+    items = [(i, substrings.shingles(substrings.word_ids(x), 5).tobytes()) for i, x in rows]
+    got = substrings.block_passages(spark.createDataFrame(items, "doc bigint, items binary"), 46, 80, at_once=7).collect()
+    assert {(r["doc"], r["other"]) for r in got} == {(a, b) for a in (3, 17, 31) for b in (3, 17, 31) if a != b}
+    assert all(r["s"] <= 30 and r["e"] >= 76 for r in got)
+
+
 def test_passages_with_words_put_in_or_left_out():
     """Whatever whole texts reach the similarity is found, both ways round."""
     rng, tried = random.Random(5), 0
