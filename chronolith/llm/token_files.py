@@ -5,7 +5,8 @@ A dataset is a folder of parts in ascending doc_id order. Part files hold flat l
 doc_ids (`.docs`). The manifest names the files of each part, with its base: the ids of all parts before it,
 a prefix sum over the parts. Readers map the files into memory where they are local.
 
-Each row ends with the id 0 (`end_id`). Special tokens' strings in a text are ordinary text.
+Each row ends with the id 0 (`end_id`). A special token's string in a text is that token, as the library has it, or
+ordinary text where `special_as_text` is set. The vocabulary lies beside the parts, and tasks read it there.
 
 Rules for odd input: a null or empty text is the end id alone. A null doc_id sorts first. Rows that share a
 doc_id are separate documents, ordered by text. An empty table gives an empty dataset. A text of any length is
@@ -33,8 +34,6 @@ from .common import by_batch, new_path, shuffle_width, staged
 
 #: Stands for a null doc_id in a `.docs` file.
 NO_DOC = -(2**63)
-#: A vocabulary file of more bytes isn't sent to the tasks.
-MOST_VOCABULARY = 64 << 20
 
 
 def public_vocabulary() -> str:
@@ -44,127 +43,179 @@ def public_vocabulary() -> str:
 
 
 class Units(dict):
-    """Text unit -> its ids as bytes, filled on demand. Units of the last two generations of `most` units each
-    are remembered, so that frequent ones stay."""
+    """Text unit -> its place in `lengths` and `starts`, which tell where its ids lie in `ids`. New units get a place
+    at once and their ids, all together, from learn(). Place 0 stands for a unit that is no unit by itself."""
 
-    most = 300_000
-
-    def __init__(self, encode, lead: str):
+    def __init__(self, encode_many, kind: np.dtype, most: int = 400_000):
         super().__init__()
-        self.encode, self.lead, self.bare, self.ends, self.old = encode, lead, self, {}, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.old.get(unit)
-        if ids is None:
-            parts = self.parts(unit)
-            if parts is None:
-                ids = self.encode(self.lead + unit)
-            else:
-                head, end, tail = parts
-                ids = self[head] + self.end(end) + (self.bare[tail] if tail else b"")
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[unit] = ids
-        return ids
-
-    @staticmethod
-    def parts(unit: str) -> tuple[str, str, str] | None:
-        """A unit is cut at a lone line end between other characters, and before a full stop or comma at its end."""
-        head, line, tail = unit.partition("\n")
-        if line and head and tail and not (head[-1].isspace() or tail[0].isspace()):
-            return head, line, tail
-        if len(unit) > 1 and unit[-1] in ".," and unit[-2].isalpha():
-            return unit[:-1], unit[-1], ""
-        return None
-
-    def end(self, mark: str) -> bytes:
-        if mark not in self.ends:
-            self.ends[mark] = self.encode(mark)
-        return self.ends[mark]
-
-    def learn(self, units: set[str], encode_many) -> None:
-        """Encodes those of the units that aren't known together, which is faster than one by one."""
-        new = {u[:-1] if len(u) > 1 and u[-1] in ".," and u[-2].isalpha() else u for u in units if u not in self and u not in self.old and "\n" not in u}
-        new = [u for u in new if u not in self and u not in self.old]
-        if len(new) + len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self.update(zip(new, encode_many(new), strict=True))
+        self.encode_many, self.most = encode_many, most
+        self.new: list[str] = []
+        self.ids, self.used = np.zeros(1 << 20, kind), 0
+        self.starts, self.lengths, self.hits = (np.zeros(1, np.int64) for _ in range(3))
+
+    def __missing__(self, unit: str) -> int:
+        if not unit or unit[-1].isspace() or unit[unit[0] == "\n"].isspace():
+            self[unit] = 0
+            return 0
+        at = self[unit] = len(self.starts) + len(self.new)
+        self.new.append(unit)
+        return at
+
+    def places(self, units: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        if self.new:
+            self.learn()
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        return at
+
+    def learn(self) -> None:
+        ids, lengths = self.encode_many(self.new)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate((self.starts, self.used + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.hits = np.concatenate((self.hits, np.zeros(len(lengths), np.int64)))
+        self.used += len(ids)
+        self.new = []
+
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units at some places, one after the other, and where those of each end."""
+        n = self.lengths[at]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def trim(self) -> None:
+        """Beyond `most` units, those met most often stay, half of `most` at the most."""
+        if len(self) <= self.most:
+            return
+        names = [""] * len(self.starts)
+        for unit, at in self.items():
+            names[at] = unit
+        keep = np.flatnonzero(self.hits[1:] > 1) + 1
+        keep = keep[np.argsort(-self.hits[keep], kind="stable")[: self.most // 2]]
+        ids, _ = self.joined(keep)
+        self.lengths = np.concatenate(([0], self.lengths[keep]))
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths[1:]) - self.lengths[1:]))
+        self.hits = np.zeros(len(self.lengths), np.int64)
+        self.ids[: len(ids)], self.used = ids, len(ids)
+        self.clear()
+        self.update(zip([names[i] for i in keep], range(1, len(keep) + 1), strict=True))
 
 
 class Encoder:
-    """Whole texts to ids. For byte-level BPE with the usual pattern, no piece reaches over a single space
-    between two other characters, so a text is the sequence of its space-separated units, and the ids of
-    frequent units are remembered. Any other tokenizer, and any text with other spacing, is encoded as it is."""
+    """Whole texts to ids. For byte-level BPE with the usual pattern, no piece reaches over a lone space or line end
+    between two other characters. So texts are cut there, and the ids of frequent units are remembered: a unit that
+    begins with a line end is encoded as it is, any other one behind a space. Other tokenizers, and texts that hold the
+    string of an added token, get whole texts."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer.encode_special_tokens = special_as_text
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.type = np.dtype("<u2" if max(names.values(), default=0) < 1 << 16 else "<u4")
         told = json.loads(vocabulary)
         pre = told.get("pre_tokenizer") or {}
         self.in_units = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and told.get("normalizer") is None
-        self.first, self.later = Units(self.plain, ""), Units(self.plain, " ")
-        self.later.bare = self.first
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-
-    def many(self, units: list[str]) -> list[bytes]:
-        """The ids of each of `units`, which neither hold a space nor begin or end with white space, after a space. They are encoded as one text and
-        cut where an id begins with a space, which only the first of a unit does."""
-        out: list[bytes] = []
-        for i in range(0, len(units), 500):
-            some = units[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, self.type)
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(some) and starts[0] == 0:
-                flat, at = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
-                out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            else:
-                out += [self.plain(" " + u) for u in some]
-        return out
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        if self.in_units:
-            units = {u for t in texts if t for u in t.split(" ")}
-            self.later.learn({u for u in units if u and not (u[0].isspace() or u[-1].isspace())}, self.many)
-        return list(map(self, texts))
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.in_units:
-            return self.plain(text)
-        first, *later = text.split(" ")
-        if not all(later) or not first or text != text.strip() or re.search(r"\s\s", text):
-            return self.by_lines(text)
-        return self.first[first] + b"".join(map(self.later.__getitem__, later))
-
-    def by_lines(self, text: str) -> bytes:
-        """Cuts a text with unusual spacing where a unit certainly ends: at a single space between two
-        characters that aren't spaces."""
-        cut = re.split(r"(?<=\S) (?=\S)", text)
-        out = [self.plain(cut[0])]
-        for unit in cut[1:]:
-            out.append(self.plain(" " + unit) if re.search(r"\s", unit) else self.later[unit])
-        return b"".join(out)
-
-
-_encoders: dict[int, Encoder] = {}
-
-
-def encoder(vocabulary: str) -> Encoder:
-    key = zlib.crc32(vocabulary.encode())
+        self.added = [x["content"] for x in told.get("added_tokens") or [] if not (special_as_text and x.get("special"))]
+        #: ids that begin with a space, and the id of a line end, by the byte-level alphabet.
+        self.spaced = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in names.items() if token.startswith("\u0120")]] = True
+        self.line = names.get("\u010a", -1)
+        self.units = Units(self.many, self.type)
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+
+    def many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, one after the other, and how many each has. Units are encoded many at a time, and cut where
+        an id begins with a space or is a line end, as only the first id of a unit is."""
+        ids: list[np.ndarray] = []
+        lengths = np.zeros(len(units), np.int64)
+        after_line = np.array([u[0] == "\n" for u in units], bool)
+        order = np.argsort(after_line, kind="stable")
+        n_spaced = len(units) - int(after_line.sum())
+        runs = [order[i : min(i + 2000, n_spaced)] for i in range(0, n_spaced, 2000)] + [order[i : i + 2000] for i in range(n_spaced, len(order), 2000)]
+        texts = [" " + " ".join([units[i] for i in r]) if units[r[0]][0] != "\n" else "".join([units[i] for i in r]) for r in runs]
+        for r, encoded in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            some = np.array(encoded.ids, self.type)
+            starts = np.flatnonzero(self.spaced[some] if units[r[0]][0] != "\n" else some == self.line)
+            if len(starts) == len(r) and starts[0] == 0:
+                lengths[r] = np.diff(starts, append=len(some))
+            else:  # other white space inside
+                parts = [self.plain(u if u[0] == "\n" else " " + u) for u in (units[i] for i in r)]
+                some, lengths[r] = np.concatenate(parts), list(map(len, parts))
+            ids.append(some)
+        flat = np.concatenate(ids) if ids else np.empty(0, self.type)
+        n = lengths[order]
+        starts = np.empty(len(units), np.int64)
+        starts[order] = np.cumsum(n) - n
+        return flat[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(len(flat))], lengths
+
+    def by_units(self, text: str) -> np.ndarray:
+        """Cuts a text with unusual spacing at lone spaces between other characters. Units with white space inside are
+        encoded as they come, the others looked up."""
+        first, *later = re.split(r"(?<=\S) (?=\S)", text)
+        odd = [i for i, u in enumerate(later) if re.search(r"\s", u)]
+        fresh = dict(zip(odd, (np.array(x.ids, self.type) for x in self.tokenizer.encode_batch_fast([" " + later[i] for i in odd], add_special_tokens=False)), strict=True))
+        at = self.units.places([u if i not in fresh else "" for i, u in enumerate(later)])
+        ids, ends = self.units.joined(at)
+        out, last = [self.plain(first)], 0
+        for i in odd:
+            out += [ids[last : ends[i]], fresh[i]]
+            last = ends[i]
+        return np.concatenate([*out, ids[last:]])
+
+    def batch(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, each with end_id behind it, one after the other, and how many each has."""
+        texts = [t or "" for t in texts]
+        end = np.array([end_id], self.type)
+        joined = "\n".join(["", *texts])
+        whole = [not self.in_units] * len(texts)
+        if self.in_units and any(x in joined for x in self.added):
+            whole = [any(x in t for x in self.added) for t in texts]
+        if any(whole):
+            joined = "\n".join(["", *(t if not w else "" for t, w in zip(texts, whole, strict=True))])
+        # A line end before each text makes its first unit one like the others; its id becomes the end id of the text before.
+        at = self.units.places(joined.replace("\n", " \n").split(" ")[1:])
+        n_units = np.array([1 if w else 1 + t.count(" ") + t.count("\n") for t, w in zip(texts, whole, strict=True)], np.int64)
+        last = np.cumsum(n_units)
+        first = last - n_units
+        odd = np.flatnonzero(np.add.reduceat(at == 0, first)) if len(texts) else []
+        ids, ends = self.units.joined(at)
+        ends = np.concatenate(([0], ends))
+        lengths = ends[last] - ends[first]
+        ids[ends[first[np.add.reduceat(at == 0, first) == 0]] if len(texts) else []] = end_id
+        if len(odd):
+            out, upto = [], 0
+            for i in odd:
+                t = texts[i]
+                own = end[:0] if not t else self.plain(t) if whole[i] else self.by_units(t)
+                out += [ids[upto : ends[first[i]]], end, own]
+                upto = ends[last[i]]
+                lengths[i] = len(own) + 1
+            ids = np.concatenate([*out, ids[upto:]])
+        self.units.trim()
+        return np.concatenate((ids[1:], end)) if len(texts) else ids, lengths
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.batch([text], 0)[0][:-1]
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(vocabulary_path: str, special_as_text: bool) -> Encoder:
+    """The worker's encoder for a vocabulary file in the shared folder; the one of an earlier dataset is let go."""
+    key = (vocabulary_path, special_as_text)
     if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary)
+        _encoders.clear()
+        store, at = file_system(vocabulary_path)
+        with store.open_input_stream(at) as f:
+            _encoders[key] = Encoder(f.read().decode("utf-8"), special_as_text)
     return _encoders[key]
 
 
@@ -172,10 +223,9 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
 
 
-def _writer(path: str, vocabulary, end_id: int):
+def _writer(path: str, end_id: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary.value)
-        end = np.array([end_id], encode.type).tobytes()
+        encode = encoder(f"{path}/vocabulary.json", special_as_text)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"  # a task that runs again writes other files
         store, at = file_system(path)
@@ -186,9 +236,8 @@ def _writer(path: str, vocabulary, end_id: int):
                 continue
             if out is None:
                 out = store.open_output_stream(f"{at}/{name}.tokens")
-            ids = [x + end for x in encode.batch(b.column("text").to_pylist())]
-            out.write(b"".join(ids))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // encode.type.itemsize
+            ids, lengths = encode.batch(b.column("text").to_pylist(), end_id)
+            out.write(ids.tobytes())
             offsets.append(total + np.cumsum(lengths))
             total = int(offsets[-1][-1])
             docs.append(b.column("doc_id").cast(pa.int64()).fill_null(NO_DOC).to_numpy())
@@ -204,20 +253,19 @@ def _writer(path: str, vocabulary, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 0, path: str | None = None) -> str:
-    """Encodes docs (doc_id, text) and writes the dataset; returns its path, which Spark can read the manifest of."""
+def write_tokens(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 0, path: str | None = None, special_as_text: bool = False) -> str:
+    """Encodes docs (doc_id, text) and writes the dataset; returns its path, which Spark can read the manifest of.
+    special_as_text: strings of special tokens are ordinary text instead of their ids."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    with open(vocabulary_path or public_vocabulary(), encoding="utf-8") as f:
-        text = f.read()
-    if len(text) > MOST_VOCABULARY:
-        raise ValueError(f"a vocabulary file of over {MOST_VOCABULARY} bytes")
     store, at = file_system(path)
     store.create_dir(at, recursive=True)
+    with open(vocabulary_path or public_vocabulary(), "rb") as f, store.open_output_stream(f"{at}/vocabulary.json") as out:
+        out.write(f.read())
     order = [F.col("doc_id").asc_nulls_first()]
     rows = docs.select("doc_id", "text").repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order, "text")
     schema = "part bigint, name string, n_docs bigint, n_tokens bigint, width bigint"
-    parts = staged(rows.mapInArrow(_writer(path, spark.sparkContext.broadcast(text), end_id), schema), "token-parts")
+    parts = staged(rows.mapInArrow(_writer(path, end_id, special_as_text), schema), "token-parts")
     # One row for each part: a window over them is a few thousand rows, whatever the corpus.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/manifest")

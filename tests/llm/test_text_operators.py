@@ -344,15 +344,34 @@ def test_language_backs_off_to_shorter_grams():
 # Token files
 
 
-def test_encoder_is_exact():
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_is_exact(special_as_text):
+    from tokenizers import Tokenizer
+
     rng = random.Random(6)
-    encode = token_files.Encoder(open(token_files.public_vocabulary(), encoding="utf-8").read())
-    marks = [" ", "  ", "\n", " \n", "\n\n", "\t", ", ", ". ", ".\n", "'s ", "don't", "é", "ñ,", "3,5", "\x1c", " ", "!", "a", "Bc", "<|endoftext|>", "日本", "🙂"]
+    fresh = Tokenizer.from_file(token_files.public_vocabulary())
+    fresh.encode_special_tokens = special_as_text
+    encode = token_files.Encoder(open(token_files.public_vocabulary(), encoding="utf-8").read(), special_as_text)
+    marks = [" ", "  ", "\n", " \n", "\n\n", "\t", ", ", ". ", ".\n", "'s ", "don't", "é", "ñ,", "3,5", "\x1c", " ", "!", "a", "Bc", "<|endoftext|>", "日本", "🙂"]
     texts = ["".join(rng.choice(marks) + rng.choice(["", "word", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    encode.later.most = 50  # so that generations change
-    for some in (texts[:5], texts[:500], texts):
-        for text, ids in zip(some, encode.batch(some), strict=True):
-            assert ids == (encode.plain(text) if text else b""), repr(text)
+    encode.units.most = 50  # so that units are forgotten
+    for some in (texts[:5], texts[:500], texts, [], [None]):
+        ids, lengths = encode.batch(some, 7)
+        at = np.concatenate(([0], np.cumsum(lengths))).tolist()
+        assert at[-1] == len(ids)
+        for text, i, j in zip(some, at[:-1], at[1:], strict=True):
+            assert ids[i:j].tolist() == [*fresh.encode(text or "", add_special_tokens=False).ids, 7], repr(text)
+
+
+def test_special_tokens_by_the_contract(spark):
+    from tokenizers import Tokenizer
+
+    text = "a <|endoftext|> b"
+    ids = Tokenizer.from_file(token_files.public_vocabulary()).encode(text, add_special_tokens=False).ids
+    assert 50256 in ids
+    path = token_files.write_tokens(table(spark, [(1, text)]))
+    (row,) = spark.read.parquet(f"{path}/manifest").collect()
+    assert [x.tolist() for _, _, x in token_files.documents_of(path, row["name"], row["width"])] == [[*ids, 0]]
 
 
 def test_token_files(spark):
