@@ -21,9 +21,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -61,12 +63,16 @@ class Units(dict):
         self.new.append(unit)
         return at
 
-    def places(self, units: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+    def places(self, units: pa.Array) -> np.ndarray:
+        """The place of each unit; equal units of a batch are looked up once."""
+        coded = units.dictionary_encode()
+        which = coded.indices.to_numpy()
+        different = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.__getitem__, different), np.int64, len(different))
         if self.new:
             self.learn()
-        self.hits += np.bincount(at, minlength=len(self.hits))
-        return at
+        np.add.at(self.hits, at, np.bincount(which, minlength=len(different)))
+        return at[which]
 
     def learn(self) -> None:
         ids, lengths = self.encode_many(self.new)
@@ -161,7 +167,7 @@ class Encoder:
         first, *later = re.split(r"(?<=\S) (?=\S)", text)
         odd = [i for i, u in enumerate(later) if re.search(r"\s", u)]
         fresh = dict(zip(odd, (np.array(x.ids, self.type) for x in self.tokenizer.encode_batch_fast([" " + later[i] for i in odd], add_special_tokens=False)), strict=True))
-        at = self.units.places([u if i not in fresh else "" for i, u in enumerate(later)])
+        at = self.units.places(pa.array([u if i not in fresh else "" for i, u in enumerate(later)], pa.string()))
         ids, ends = self.units.joined(at)
         out, last = [self.plain(first)], 0
         for i in odd:
@@ -169,19 +175,20 @@ class Encoder:
             last = ends[i]
         return np.concatenate([*out, ids[last:]])
 
-    def batch(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, each with end_id behind it, one after the other, and how many each has."""
-        texts = [t or "" for t in texts]
+        large = partial(pa.scalar, type=pa.large_string())
+        texts = texts.cast(pa.large_string()).fill_null("")
         end = np.array([end_id], self.type)
-        joined = "\n".join(["", *texts])
-        whole = [not self.in_units] * len(texts)
-        if self.in_units and any(x in joined for x in self.added):
-            whole = [any(x in t for x in self.added) for t in texts]
-        if any(whole):
-            joined = "\n".join(["", *(t if not w else "" for t, w in zip(texts, whole, strict=True))])
+        whole = np.full(len(texts), not self.in_units)
+        for x in self.added:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         # A line end before each text makes its first unit one like the others; its id becomes the end id of the text before.
-        at = self.units.places(joined.replace("\n", " \n").split(" ")[1:])
-        n_units = np.array([1 if w else 1 + t.count(" ") + t.count("\n") for t, w in zip(texts, whole, strict=True)], np.int64)
+        some = pc.if_else(pa.array(whole), large(""), texts) if whole.any() else texts
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(large(""), some, large("\n")), "\n", " \n"), " ")
+        at = self.units.places(lists.flatten())
+        offsets = lists.offsets.to_numpy()
+        at, n_units = np.delete(at, offsets[:-1] - offsets[0]), np.diff(offsets) - 1  # nothing stands before the first line end
         last = np.cumsum(n_units)
         first = last - n_units
         odd = np.flatnonzero(np.add.reduceat(at == 0, first)) if len(texts) else []
@@ -192,7 +199,7 @@ class Encoder:
         if len(odd):
             out, upto = [], 0
             for i in odd:
-                t = texts[i]
+                t = texts[i].as_py()
                 own = end[:0] if not t else self.plain(t) if whole[i] else self.by_units(t)
                 out += [ids[upto : ends[first[i]]], end, own]
                 upto = ends[last[i]]
@@ -202,7 +209,7 @@ class Encoder:
         return np.concatenate((ids[1:], end)) if len(texts) else ids, lengths
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return self.batch([text], 0)[0][:-1]
+        return self.batch(pa.array([text], pa.string()), 0)[0][:-1]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -236,7 +243,7 @@ def _writer(path: str, end_id: int, special_as_text: bool):
                 continue
             if out is None:
                 out = store.open_output_stream(f"{at}/{name}.tokens")
-            ids, lengths = encode.batch(b.column("text").to_pylist(), end_id)
+            ids, lengths = encode.batch(b.column("text"), end_id)
             out.write(ids.tobytes())
             offsets.append(total + np.cumsum(lengths))
             total = int(offsets[-1][-1])

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,7 +357,7 @@ def test_encoder_is_exact(special_as_text):
     texts = ["".join(rng.choice(marks) + rng.choice(["", "word", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     encode.units.most = 50  # so that units are forgotten
     for some in (texts[:5], texts[:500], texts, [], [None]):
-        ids, lengths = encode.batch(some, 7)
+        ids, lengths = encode.batch(pa.array(some, pa.string()), 7)
         at = np.concatenate(([0], np.cumsum(lengths))).tolist()
         assert at[-1] == len(ids)
         for text, i, j in zip(some, at[:-1], at[1:], strict=True):
