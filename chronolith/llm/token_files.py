@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_batch, new_path, shuffle_width, staged
+from .common import by_batch, file_system, new_path, shuffle_width, staged
 
 #: Stands for a null doc_id in a `.docs` file.
 NO_DOC = -(2**63)
@@ -226,10 +226,6 @@ def encoder(vocabulary_path: str, special_as_text: bool) -> Encoder:
     return _encoders[key]
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-
-
 def _writer(path: str, end_id: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(f"{path}/vocabulary.json", special_as_text)

@@ -303,6 +303,24 @@ def test_decontamination_of_long_texts(monkeypatch):
         assert (0, 9) in index.search([words(rng, k) + " " + item + " " + words(rng, 300)])
 
 
+def test_short_items_are_found_between_word_borders(spark):
+    bench = spark.createDataFrame([(1, "Ab  c?"), (2, "short item of thirty-one chars."), (3, "x"), (4, "")], "item_id bigint, text string")
+    docs = table(spark, [(1, "so ab c? yes"), (2, "so ab c?yes"), (3, "SHORT item\nof thirty-one chars."), (4, "a short item of thirty-one chars, no"), (5, "y x"), (6, "yx xy"), (7, None)])
+    assert sorted((r["doc_id"], r["item_id"], r["edits"], r["start"]) for r in decontaminate.contaminated(docs, bench).collect()) == [(1, 1, 0, 3), (3, 2, 0, 0), (5, 3, 0, 2)]
+
+
+def test_decontamination_in_halves(spark):
+    rng = random.Random(14)
+    items = [(i, decontaminate.normal(words(rng, 40))) for i in range(4)] + [(9, "z" * 400)]
+    index = decontaminate.Index(items)
+    texts = [f"{words(rng, 900)} {items[i][1]} {words(rng, 900)}" for i in range(4)] + ["z" * 3000, words(rng, 50)]
+    want = index.found(texts)
+    assert {k for k, _ in want} == {0, 1, 2, 3, 4}
+    for most in (20000, 300, 10):
+        got = index.found(texts, most)
+        assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in want.items()}
+
+
 # Language
 
 
