@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -51,20 +52,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, filled on demand. It is emptied at `most` words so that a task's
-    memory doesn't grow with the vocabulary."""
-
-    most = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = WordHashes()
 U64 = np.uint64
 
 
@@ -81,13 +68,41 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * U64(2) + U64(1)
 
 
+#: A-Z lower-cased and [\x09-\x0D] made spaces, byte by byte.
+_plain_bytes = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+#: A random number for each byte at each of 64 places.
+_table = np.random.default_rng(7).integers(0, 2**63, 64 * 256, dtype=np.uint64) * U64(2) + U64(1)
+
+
+def many_word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, A-Z lower-cased, one text after the other, and
+    where those of each text begin and end. A word's hash is the mixed sum of its bytes' numbers at their places."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes().translate(_plain_bytes)
+    data, offsets = np.frombuffer(raw, np.uint8), offsets - offsets[0]
+    inside = data != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    begins[edges] = inside[edges]  # a text's first word begins there even when the text before ends in a word
+    letters = data[inside]
+    starts = np.flatnonzero(begins[inside])
+    if not len(starts):
+        return np.empty(0, U64), np.zeros(len(offsets), np.int64)
+    sizes = np.diff(starts, append=len(letters))
+    place = np.arange(len(letters), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), sizes)
+    value = _table.take((place & 63) << 8 | letters)
+    if sizes.max() > 64:
+        late = np.flatnonzero(place > 63)
+        value[late] = mix(value[late] + (place[late] >> 6).astype(U64))
+    at = np.concatenate(([0], np.cumsum(begins, dtype=np.int64)))[offsets]
+    return mix(np.add.reduceat(value, starts) + sizes.astype(U64)), at
+
+
 def word_ids(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased. bytes.lower() and
-    bytes.split() are ASCII-only, which is just that definition."""
-    if not text:
-        return np.empty(0, U64)
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_words.__getitem__, words), U64, len(words))
+    return many_word_ids(pa.array([text], pa.large_string()))[0]
 
 
 _place = odd_constants(64, 11)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.llm import decontaminate, language, line_dedup, minhash, substrings, token_files
+from chronolith.llm.common import shingles, word_ids
 from chronolith.llm.graph import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, h1 string, token int, line string"
@@ -143,19 +144,28 @@ def test_components(spark):
 
 
 def test_compact_windows():
+    """The wide nodes of the Cartesian tree over the hashes of each text, as far as t places reach, several texts side by side."""
     rng = np.random.default_rng(1)
-    for n, t in ((1, 1), (5, 6), (60, 7), (200, 20), (40, 40)):
-        h = rng.integers(0, 50, n).astype(np.uint64)
-        want = []
-        for c in range(n):
-            a = b = c
-            while a > 0 and h[a - 1] > h[c]:
-                a -= 1
-            while b < n - 1 and h[b + 1] >= h[c]:
-                b += 1
-            if b - a + 1 >= t:
-                want.append((a, c, b))
-        assert substrings.compact_windows(h, t) == want
+    t = 4
+    for _ in range(50):
+        sizes = rng.integers(0, 30, 5)
+        h = rng.permutation(sizes.sum()).astype(np.uint64) << np.uint64(20)
+        want, at = [], 0
+        for n in sizes.tolist():
+            one = h[at : at + n].tolist()
+            for c in range(n):
+                a = b = c
+                while a > max(0, c - t + 1) and one[a - 1] > one[c]:
+                    a -= 1
+                while b < min(n, c + t) - 1 and one[b + 1] > one[c]:
+                    b += 1
+                if b - a + 1 >= t:
+                    want.append((at + c, at + a, at + b))
+            at += n
+        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        starts = np.concatenate([np.arange(x, x + n - t + 1) for x, n in zip(begins, sizes, strict=True) if n >= t] or [np.empty(0, np.int64)])
+        if len(starts):
+            assert sorted(zip(*(x.tolist() for x in substrings.compact_windows(h, starts, t)), strict=True)) == want
 
 
 def test_passages(spark):
@@ -193,7 +203,7 @@ def test_edited_passage():
     rng = random.Random(2)
     a = words(rng, 120).split()
     b = words(rng, 30).split() + a[20:50] + ["new"] + a[51:100] + words(rng, 30).split()
-    x, y = (substrings.shingles(substrings.word_ids(" ".join(w)), 5) for w in (a, b))
+    x, y = (shingles(word_ids(" ".join(w)), 5) for w in (a, b))
     assert substrings.passages(x, y, [-10], 46, 80) == [(20, 96, 30, 106)]
 
 
@@ -211,15 +221,47 @@ def test_passages_that_hold_a_frequent_line(spark):
     assert set(got) == set(range(1000, 1060)) and all(set(range(60, 120)) <= x for x in got.values())
 
 
-def test_passages_by_blocks(spark):
-    rng = random.Random(12)
-    passage, rows = words(rng, 50), []
-    for i in range(40):
-        rows.append((i, words(rng, 30) + (f" {passage} " if i in (3, 17, 31) else " ") + words(rng, 40)))
-    items = [(i, substrings.shingles(substrings.word_ids(x), 5).tobytes()) for i, x in rows]
-    got = substrings.block_passages(spark.createDataFrame(items, "doc bigint, items binary"), 46, 80, at_once=7).collect()
-    assert {(r["doc"], r["other"]) for r in got} == {(a, b) for a in (3, 17, 31) for b in (3, 17, 31) if a != b}
-    assert all(r["s"] <= 30 and r["e"] >= 76 for r in got)
+def stock_texts(rng, edit):
+    """Texts of 60 stock phrases, and 30 pairs of documents with a passage of 72 words of them; edit changes the second."""
+    phrases = [words(rng, 12) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(9))) for i in range(660)]
+    for i in range(1000, 1060, 2):
+        passage = " ".join(rng.choice(phrases) for _ in range(6)).split()
+        rows += [(i + k, " ".join([*(rng.choice(phrases) for _ in range(2)), *(edit(passage) if k else passage), *(rng.choice(phrases) for _ in range(2))])) for k in range(2)]
+    return rows
+
+
+def test_exact_passages_of_stock_phrases(spark):
+    rows = stock_texts(random.Random(15), lambda w: w)
+    where, covered, got = defaultdict(set), defaultdict(set), defaultdict(set)
+    for _ in range(2):
+        for d, t in rows:
+            w = t.split()
+            for j in range(len(w) - 49):
+                key = tuple(w[j : j + 50])
+                if len(where[key]) > 1:
+                    covered[d].update(range(j, j + 50))
+                where[key].add(d)
+    for r in substrings.repeated_passages(table(spark, rows)).collect():
+        got[r["doc_id"]].update(range(r["start"], r["start"] + r["n_words"]))
+    assert len(covered) >= 60 and all(covered[d] <= got[d] for d in covered)
+
+
+def test_recall_of_near_passages_of_stock_phrases(spark):
+    """One word in the passage is another: 0.86 of the shingles are common."""
+    rng = random.Random(16)
+
+    def edit(w):
+        k = rng.randrange(5, len(w) - 5)
+        return [*w[:k], words(rng, 1), *w[k + 1 :]]
+
+    rows = dict(stock_texts(rng, edit))
+    pairs = defaultdict(set)
+    for r in substrings.repeated_passages(table(spark, list(rows.items()))).collect():
+        if r["start"] < 48 and r["start"] + r["n_words"] > 72:
+            pairs[r["doc_id"]].add(r["other_id"])
+    found = sum(bool(pairs[i]) + bool(pairs[i + 1]) for i in range(1000, 1060, 2))
+    assert found >= 54, found
 
 
 def test_passages_with_words_put_in_or_left_out():
@@ -231,7 +273,7 @@ def test_passages_with_words_put_in_or_left_out():
                 a = words(rng, n).split()
                 more, less = a[:at] + words(rng, k).split() + a[at:], a[:at] + a[at + k :]
                 for b in (more, less):
-                    x, y = (substrings.shingles(substrings.word_ids(" ".join(w)), 5) for w in (a, b))
+                    x, y = (shingles(word_ids(" ".join(w)), 5) for w in (a, b))
                     sx, sy = set(x.tolist()), set(y.tolist())
                     if min(len(x), len(y)) >= 46 and 100 * len(sx & sy) >= 80 * len(sx | sy):
                         tried += 1
