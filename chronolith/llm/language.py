@@ -5,10 +5,10 @@ its character n-grams (with word borders), the longest n first: the first n of w
 scores it by the mean over those. A text's language is the one with the largest sum over its words.
 
 The model is learned from labelled rows: all of a language, or a sample of about `per_language` rows by hash
-of the id where it has more. Words seen twice or more are known, the `most_words` most frequent at most, and
-`most_grams` n-grams; these bound the model, which goes to every task, whatever the corpus.
+of the id where it has more. All words and n-grams of the sample are known; its size bounds the model, which goes to
+every task, whatever the corpus.
 
-Rules for odd input: a null text, or one without a letter, is `und` with score 0, as is everything when nothing
+Rules for odd input: a null text, or one without a letter (str.isalpha), is `und` with score 0, as is everything when nothing
 could be learned. A null doc_id is never learned from and counts as held out. Rows that share a doc_id are
 predicted each by its own text. Equal sums go to the language first in code point order. An empty table gives
 an empty table. Column names other than doc_id, text and lang are free.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +32,13 @@ from .common import by_batch, staged
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 UNDETERMINED = "und"
-#: More different labels than this is an error.
-MOST_LANGUAGES = 1000
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of word characters but digits and underscores. Signs such as a half or a Roman numeral may stand in a word,
+    but a text of nothing else has no letter and no words."""
+    words = LETTERS.findall(text.lower()) if text else []
+    return words if any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w) else []
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -75,27 +77,36 @@ def _counted(items_of, at_once: int = 300_000):
     return run
 
 
-def _frequent(counts: DataFrame, most: int, least: int) -> list:
-    """[(item, {lang: n})] of the `most` most frequent items."""
-    each = counts.groupBy("item", "lang").agg(F.sum("n").alias("n"))
-    by_item = each.groupBy("item").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    return [(r["item"], r["n"]) for r in by_item.where(F.col("all") >= least).orderBy(F.desc("all"), "item").limit(most).select("item", "n").collect()]
+def _table(counts: DataFrame, labels: DataFrame) -> pa.Table:
+    """item, at (numbers of languages) and n (how often it stands there) of all items, as Arrow."""
+    each = counts.groupBy("item", "lang").agg(F.sum("n").alias("n")).join(labels, "lang")
+    pairs = F.sort_array(F.collect_list(F.struct("at", "n")))
+    return each.groupBy("item").agg(pairs.alias("pairs")).select("item", F.col("pairs.at").alias("at"), F.col("pairs.n").alias("n")).toArrow()
+
+
+def _as_table(items: list) -> pa.Table:
+    return pa.table({"item": pa.array([k for k, _ in items], pa.string()), "at": pa.array([list(n) for _, n in items], pa.list_(pa.int32())), "n": pa.array([list(n.values()) for _, n in items], pa.list_(pa.int64()))})
 
 
 class Model:
     """languages, and for each known word and n-gram the log of each language's share in it."""
 
-    def __init__(self, languages: list[str], words: list, grams: list):
+    def __init__(self, languages: list[str], words: pa.Table | list, grams: pa.Table | list):
+        """words and grams: item, at and n, or [(item, {language: n})]."""
         self.languages = languages
-        at = {x: i for i, x in enumerate(languages)}
+        number = {x: i for i, x in enumerate(languages)}
 
-        def table(items: list) -> tuple[dict[str, int], np.ndarray]:
+        def table(items: pa.Table | list) -> tuple[dict[str, int], np.ndarray]:
+            if isinstance(items, list):
+                items = _as_table([(k, {number[x]: c for x, c in n.items()}) for k, n in items])
+            items = items.sort_by("item").combine_chunks()
             counts = np.full((len(items), len(languages)), 0.05)
-            for i, (_, n) in enumerate(items):
-                for lang, c in n.items():
-                    counts[i, at[lang]] += c
+            lists = items.column("at").combine_chunks()
+            rows = np.repeat(np.arange(len(items)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            counts[rows, pc.list_flatten(lists).to_numpy(zero_copy_only=False)] += pc.list_flatten(items.column("n").combine_chunks()).to_numpy(zero_copy_only=False)
+            names = items.column("item").to_pylist()
             share = counts / np.maximum(counts.sum(axis=0, keepdims=True), 1e-9) if len(items) else counts
-            return {k: i for i, (k, _) in enumerate(items)}, np.log(share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)).astype(np.float32)
+            return {k: i for i, k in enumerate(names)}, np.log(share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
         self.words, self.word_logs = table(words)
         self.grams, self.gram_logs = table(grams)
@@ -147,17 +158,18 @@ class Scorer(dict):
         return self.model.languages[best], float(share[best] / share.sum())
 
 
-def learn(labelled: DataFrame, per_language: int = 4000, most_words: int = 150_000, most_grams: int = 100_000) -> Model:
+def learn(labelled: DataFrame, per_language: int = 600) -> Model:
     """labelled: doc_id, text, lang. See the module's docstring for the bounds."""
     labelled = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labels")
+    spark = labelled.sparkSession
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    languages = sorted(counts)
     if not counts:
         return Model([], [], [])
     wide = 1 << 30
-    bound = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(wide, wide * per_language // n)))])
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(wide)) < F.element_at(bound, F.col("lang")))
+    rows = [(x, i, min(wide, wide * per_language // counts[x])) for i, x in enumerate(languages)]
+    labels = spark.createDataFrame(rows, "lang string, at int, bound bigint")
+    sample = labelled.join(labels, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(wide)) < F.col("bound"))
     schema = "item string, lang string, n bigint"
     of_words = staged(sample.select("text", "lang", F.lit(1).cast("bigint").alias("n")).mapInArrow(_counted(words_of), schema).groupBy("item", "lang").agg(F.sum("n").alias("n")), "language-words")
 
@@ -165,7 +177,8 @@ def learn(labelled: DataFrame, per_language: int = 4000, most_words: int = 150_0
         return [g for n in range(1, LONGEST + 1) for g in grams_of(word, n)]
 
     of_grams = of_words.mapInArrow(_counted(grams), schema)
-    return Model(sorted(counts), _frequent(of_words, most_words, 2), _frequent(of_grams, most_grams, 2))
+    labels = labels.select("lang", "at")
+    return Model(languages, _table(of_words, labels), _table(of_grams, labels))
 
 
 _scorers: list[Scorer] = []

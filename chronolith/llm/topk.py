@@ -9,7 +9,9 @@ k-th are still scored. Tasks are pairs of a query group and a block group, both
 k are merged by query.
 
 Rules for odd input: a vector that is null or holds a null or non-finite component takes no part, nor does a
-null vec_id, nor one with a component of more than 10^17 / 64, which doesn't fit 64-bit sums. Vectors of different lengths are taken as if padded with zeros. Rows that share a vec_id: as a
+null vec_id. Every finite component counts: where 64-bit sums could overflow, Python's integers are used, and only a
+component or score that doesn't fit 64 bits is an error. Vectors of different lengths are taken as if padded with
+zeros. Rows that share a vec_id: as a
 candidate each row counts; as a query the least vector by order of components is taken, and all rows with its
 id are left out. Ties go to the smaller vec_id. An empty table, or one without queries, gives no rows.
 Column names other than vec_id and embedding are free.
@@ -34,12 +36,16 @@ PACKED = "part bigint, n bigint, width bigint, ids binary, cells binary"
 
 
 def quantised(embedding: Column) -> Column:
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * 64).cast("bigint"))
+    def one(x: Column) -> Column:
+        y = F.floor(x.cast("double") * 64)
+        return F.when(F.abs(x.cast("double")) < 2.0**57, y.cast("bigint")).otherwise(F.raise_error(F.lit("a component doesn't fit 64 bits")).cast("bigint"))
+
+    return F.transform(embedding, one)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, cells array<bigint>) of the vectors that take part."""
-    bad = F.exists("embedding", lambda x: F.coalesce(F.isnan(x) | (F.abs(x.cast("double")) > 1e17 / 64), F.lit(True)))
+    bad = F.exists("embedding", lambda x: F.coalesce(F.isnan(x) | (F.abs(x.cast("double")) == float("inf")), F.lit(True)))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad).select("vec_id", quantised(F.col("embedding")).alias("cells"))
 
 
@@ -50,7 +56,7 @@ def alike(cells: Column) -> Column:
     bits = []
     for k in range(16):
         signs = F.array(*[F.lit(int(s)) for s in rng.choice((-1, 1), 64)])
-        total = F.aggregate(F.zip_with(cells, signs, lambda x, s: F.coalesce(x, F.lit(0)) * F.coalesce(s, F.lit(1))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        total = F.aggregate(F.zip_with(cells, signs, lambda x, s: F.coalesce(x, F.lit(0)).cast("double") * F.coalesce(s, F.lit(1))), F.lit(0.0), lambda a, x: a + x)
         bits.append(F.when(total > 0, F.lit(1 << (15 - k))).otherwise(0))
     return sum(bits[1:], bits[0])
 
@@ -153,8 +159,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 128,
     n_blocks, n_asked = blocks.count(), asked.count()
     n_groups = max(1, -(-n_blocks // group))
     blocks = blocks.withColumn("g", F.pmod(F.xxhash64("part", "ids"), F.lit(n_groups))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(n_asked - 1, 0)))))
-    numbered = Window.orderBy("part")  # one row for each 1,024 queries
-    asked = asked.withColumn("q", F.row_number().over(numbered) - 1).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    asked = asked.withColumn("q", F.pmod(F.xxhash64("part"), F.lit(max(n_asked, 1))).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     lists = asked.groupBy("q", "g").cogroup(blocks.groupBy("q", "g")).applyInPandas(_task(k), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -284,3 +284,10 @@ def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "mixing", "token_output"]
     assert decontaminate and language and minhash
+
+
+def test_topk_of_large_components(spark):
+    rows = [(1, [2e15, 0.0, 0.0, 0.0]), (2, [1.0, 1.0, 1.0, 1.0]), (3, [0.0, 2.0, None, 0.0]), (4, [float("inf"), 0.0, 0.0, 0.0]), (5, [-1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(vectors.where("vec_id = 2"), vectors, k=5).orderBy("rank").collect()]
+    assert got == [(2, 1, 1, 64 * 64 * 2 * 10**15), (2, 2, 5, 0)]

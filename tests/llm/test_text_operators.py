@@ -387,6 +387,50 @@ def test_language(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def brute_force_language(counts, grams, languages, text):
+    """The definition, word by word, with dictionaries."""
+
+    def logs(table, item):
+        share = [(table[item].get(x, 0) + 0.05) / sum(n.get(x, 0) + 0.05 for n in table.values()) for x in languages]
+        return [np.log(v / sum(share)) for v in share]
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und"
+    total = np.zeros(len(languages))
+    for w in words:
+        if w in counts:
+            total += logs(counts, w)
+            continue
+        for n in (4, 3, 2, 1):
+            known = [g for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) in grams]
+            if known:
+                total += np.mean([logs(grams, g) for g in known], axis=0)
+                break
+        else:
+            total -= np.log(len(languages))
+    return languages[int(np.argmax(total))]
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(21)
+    langs = {"x": ["um", "us", "bat"], "y": ["ing", "bad", "ed"], "z": ["ção", "é", "bar"]}
+    rows = [(i, " ".join(words(random.Random(rng.randint(0, 60)), 1) + rng.choice(ends) for _ in range(rng.randint(1, 6))), lang) for i in range(240) for lang, ends in [rng.choice(list(langs.items()))]]
+    rows += [(300, "½ ² Ⅷ", "x"), (301, "½", None), (302, None, "x"), (303, "", "y"), (304, "½ bat", None), (305, "zzz " * 3000, None), (306, "12 34", None)]
+    rows += [rows[0], rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    counts, grams = defaultdict(Counter), defaultdict(Counter)
+    for d, t, lang in rows:
+        if t and lang and zlib.crc32(str(d).encode()) % 3 != 1 and any(c.isalpha() for c in t):
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                counts[w][lang] += 1
+                for n in (1, 2, 3, 4):
+                    for i in range(len(w) + 3 - n):
+                        grams[f" {w} "[i : i + n]][lang] += 1
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in language.identify(docs).collect())
+    assert got == sorted((d, brute_force_language(counts, grams, sorted(langs), t)) for d, t, _ in rows)
+
+
 def test_language_backs_off_to_shorter_grams():
     counts = [("the", {"a": 9}), ("der", {"b": 9})]
     grams = Counter()
