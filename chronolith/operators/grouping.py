@@ -18,11 +18,13 @@ def shortlog(commits: DataFrame, groups: Sequence[Column]) -> DataFrame:
 
 
 def shortlog_subjects(commits: DataFrame, key: Column, subject: Column, most: int | None = None) -> DataFrame:
-    """Subjects of each group, oldest first; `[PATCH ...]` is stripped, an empty subject is <none>."""
+    """Subjects of each group, oldest first and `most` of them if that is set; `[PATCH ...]` is stripped, an empty subject
+    is <none>."""
     clean = F.regexp_replace(subject, r"^\[PATCH[^\]]*\]\s*", "")
     rows = commits.select(F.trim(key).alias("key"), "committed", "oid", F.when(clean == "", "<none>").otherwise(clean).alias("subject"))
     group = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("committed", "oid", "subject"))).alias("all"))
-    return group.select("key", F.size("all").alias("commits"), F.col("all.subject").alias("subjects"))
+    subjects = F.col("all.subject")
+    return group.select("key", F.size("all").alias("commits"), (subjects if most is None else F.slice(subjects, 1, most)).alias("subjects"))
 
 
 def canonical(people: DataFrame, mailmap: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (local tests) a temporary folder is made and set."""
+    """spark.checkpoint.dir. Where it is unset a temporary folder is made and set in local mode; on a cluster, where each
+    machine would have its own, it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

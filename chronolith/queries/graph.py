@@ -14,10 +14,13 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str, first_parent: bool = False) -> DataFrame:
-    """The reachability index of a data set, built once a session as a table in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, first_parent)
+    """The reachability index of a data set, built once a session as a table in the shared folder, and again where the
+    commits have changed."""
+    commits = relation(spark, sf_dir, "commits")
+    content = commits.agg(F.count("*"), F.sum(F.xxhash64(*commits.columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, first_parent, *content)
     if key not in _kept:
-        _kept[key] = staged(history.closure(relation(spark, sf_dir, "commits"), first_parent), "reach")
+        _kept[key] = staged(history.closure(commits, first_parent), "reach")
     return _kept[key]
 
 

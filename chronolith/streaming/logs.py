@@ -45,14 +45,17 @@ def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def put_stream(stream: DataFrame, store: str) -> None:
-    """Inserts (oid, ...) rows that the store doesn't have yet, once each however often a batch runs."""
+    """Inserts (oid, ...) rows that the store doesn't have yet, once each however often a batch, or the whole call, runs.
+    Each call writes under a run of its own, so that none replaces what an earlier one put there."""
+    run = uuid.uuid4().hex
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(["oid"])
-        mine = f"{store}/epoch={epoch}"
+        mine = f"{store}/run={run}/epoch={epoch}"
         try:
-            known = spark.read.option("basePath", store).parquet(f"{store}/epoch=*").where(F.col("epoch") < epoch).select("oid")
+            there = spark.read.option("basePath", store).parquet(f"{store}/run=*/epoch=*")
+            known = there.where((F.col("run").cast("string") != run) | (F.col("epoch") < epoch)).select("oid")
             new = new.join(known, "oid", "left_anti")
         except Exception as e:  # the first batch finds no store
             if "PATH_NOT_FOUND" not in str(e):
@@ -60,5 +63,5 @@ def put_stream(stream: DataFrame, store: str) -> None:
         new.write.mode("overwrite").parquet(mine)
 
     spark = stream.sparkSession
-    state = f"{shared_dir(spark)}/put-{uuid.uuid4().hex}"
+    state = f"{shared_dir(spark)}/put-{run}"
     stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()

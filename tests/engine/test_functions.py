@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import globs, text
 from chronolith.operators import blame, checks, grouping, history, objects, refs, trees
 from chronolith.operators.text_diff import matches, split_lines
+from chronolith.plans import stages
 from chronolith.sources import files
 from chronolith.streaming import logs
 
@@ -212,6 +213,24 @@ def test_put_stream(spark, tmp_path):
     spark.createDataFrame([("b", 2), ("c", 3)], schema).coalesce(1).write.parquet(f"file://{source}/2")
     logs.put_stream(stream(), f"file://{tmp_path}/store")
     assert sorted(r["oid"] for r in spark.read.parquet(f"file://{tmp_path}/store").collect()) == ["a", "b", "c"]
+    spark.createDataFrame([("c", 3), ("d", 4)], schema).coalesce(1).write.parquet(f"file://{source}/3")
+    for _ in range(2):  # a later call, and one more over the same entries
+        logs.put_stream(stream(), f"file://{tmp_path}/store")
+        assert sorted(r["oid"] for r in spark.read.parquet(f"file://{tmp_path}/store").collect()) == ["a", "b", "c", "d"]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="share"):
+        stages.shared_dir(Session())
 
 
 def test_mailmap_and_geometry(spark):
