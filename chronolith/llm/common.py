@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where it is unset
-    (local tests) a temporary folder is made and set, which in local mode every task can see."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a temporary folder
+    is made and set in local mode, where every task can see it; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -33,15 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, by_batch, mix, odd_constants, shingles, staged, word_ids
+from .common import U64, by_batch, many_word_ids, mix, odd_constants, shingles, staged
 from .graph import components
 
 #: Lists of more members are compared by blocks instead of by pairs.
 LONG_LIST = 32
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingles(word_ids(text), width))
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    for i in range(0, len(texts), 128):
+        ids, at = many_word_ids(texts.slice(i, 128))
+        all_ = shingles(ids, width)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            items = np.sort(all_[a : b - width + 1] if b - a >= width else shingles(ids[a:b], width))
+            yield items[np.concatenate(([True], items[1:] != items[:-1]))] if len(items) else items
 
 
 def signature(items: np.ndarray, coords: int) -> np.ndarray:
@@ -57,8 +62,7 @@ def _sketches(width: int, coords: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_batch(batches):
             rows = []
-            for text in b.column(1).to_pylist():
-                items = shingle_set(text, width)
+            for items in shingle_sets(b.column(1), width):
                 if len(items):
                     whole = xxhash.xxh3_128_digest(items.tobytes())
                     rows.append((len(items), *np.frombuffer(whole, np.int64).tolist(), signature(items, coords).view(np.int64)))
@@ -76,7 +80,7 @@ def _sketches(width: int, coords: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_batch(batches, 512):
-            data = [shingle_set(t, width).tobytes() for t in b.column(1).to_pylist()]
+            data = [items.tobytes() for items in shingle_sets(b.column(1), width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "items"])
 
     return run
