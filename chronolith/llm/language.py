@@ -169,7 +169,8 @@ def learn(labelled: DataFrame, per_language: int = 600) -> Model:
     wide = 1 << 30
     rows = [(x, i, min(wide, wide * per_language // counts[x])) for i, x in enumerate(languages)]
     labels = spark.createDataFrame(rows, "lang string, at int, bound bigint")
-    sample = labelled.join(labels, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(wide)) < F.col("bound"))
+    # The texts needn't be shuffled for a list of labels, whose size is known here.
+    sample = labelled.join(F.broadcast(labels) if len(languages) <= 10_000 else labels, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(wide)) < F.col("bound"))
     schema = "item string, lang string, n bigint"
     of_words = staged(sample.select("text", "lang", F.lit(1).cast("bigint").alias("n")).mapInArrow(_counted(words_of), schema).groupBy("item", "lang").agg(F.sum("n").alias("n")), "language-words")
 
