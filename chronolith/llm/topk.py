@@ -12,8 +12,8 @@ Rules for odd input: a vector that is null or holds a null or non-finite compone
 null vec_id. Every finite component counts: where 64-bit sums could overflow, Python's integers are used, and only a
 component or score that doesn't fit 64 bits is an error. Vectors of different lengths are taken as if padded with
 zeros. Rows that share a vec_id: as a
-candidate each row counts; as a query the least vector by order of components is taken, and all rows with its
-id are left out. Ties go to the smaller vec_id. An empty table, or one without queries, gives no rows.
+candidate each row counts; as a query the least vector by order of components is taken (with `every_row` each row
+asks, and the k best of all their pairs are the id's), and all rows with its id are left out. Ties go to the smaller vec_id. An empty table, or one without queries, gives no rows.
 Column names other than vec_id and embedding are free.
 """
 
@@ -149,9 +149,11 @@ def _task(k: int):
     return run
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 128, group: int = 128, at_once: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of vectors for each row of queries, its own id left out."""
-    some = usable(queries).groupBy("vec_id").agg(F.min("cells").alias("cells"))
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 128, group: int = 128, at_once: int = 1024, every_row: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of vectors for each id of queries, its own id left out."""
+    some = usable(queries)
+    if not every_row:
+        some = some.groupBy("vec_id").agg(F.min("cells").alias("cells"))
     asked = staged(some.mapInArrow(_packed(at_once), PACKED), "query-groups")
     ordered = usable(vectors).withColumn("near", alike(F.col("cells"))).repartitionByRange(F.col("near"), F.col("vec_id")).sortWithinPartitions("near", "vec_id")
     blocks = staged(ordered.select("vec_id", "cells").mapInArrow(_packed(block), PACKED), "blocks")

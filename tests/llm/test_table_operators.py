@@ -291,3 +291,15 @@ def test_topk_of_large_components(spark):
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(vectors.where("vec_id = 2"), vectors, k=5).orderBy("rank").collect()]
     assert got == [(2, 1, 1, 64 * 64 * 2 * 10**15), (2, 2, 5, 0)]
+
+
+def test_topk_query_of_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [(i % 70, v.astype("float32").tolist()) for i, v in enumerate(rng.normal(size=(150, 6)))] + [(20, [1.0] * 6)] * 2
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.op3_topk(spark, f"file://{tmp_path}").select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(queries.SQL["op3_topk"]).fetchall())
