@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,22 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_by(df: DataFrame, tag: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """staged, in buckets by `keys`: joins and groupings on these and further columns are then made within the buckets,
+    without a shuffle, also from one such table to the next. Without keys it is `staged`."""
+    if not keys:
+        return staged(df, tag)
+    spark = df.sparkSession
+    # By default a join on more columns than the buckets' would be shuffled anew.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").bucketBy(buckets, *keys).option("path", at).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def buckets_for(spark: SparkSession, rows: int, rows_each: int = 100_000) -> int:
+    """At least as many as a shuffle's partitions; more for many rows, so that a bucket stays small."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

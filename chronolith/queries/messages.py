@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import blame, checks, formatting, grouping, history, objects, trees
+from ..plans.buckets import BY, commits, entries, shown
 from ..plans.relations import relation
-from ..plans.stages import staged
+from ..plans.stages import staged_by
 from ..registry import query
-from .graph import CHANGES, CLOSURE, changes_of, index_of, tip_pairs, tips
+from .graph import CHANGES, CLOSURE, changes_of, index_of, named, tip_pairs, tips
 
 NOW = 1_800_000_000
 
@@ -62,7 +63,7 @@ def mailmap(spark, sf_dir):
 @query(f"WITH {CHANGES}, d AS (SELECT commit_oid, path, old_oid AS oid, row_number() OVER (PARTITION BY commit_oid, old_oid ORDER BY path) AS rn FROM ch WHERE status = 'D'), a AS (SELECT commit_oid, path, new_oid AS oid, row_number() OVER (PARTITION BY commit_oid, new_oid ORDER BY path) AS rn FROM ch WHERE status = 'A') SELECT d.commit_oid, d.oid, d.path AS old_path, a.path AS new_path FROM d JOIN a USING (commit_oid, oid, rn)")
 def exact_renames(spark, sf_dir):
     """No base names agree here, so pairs of equal content are made by path."""
-    return trees.exact_renames(changes_of(spark, sf_dir)[2], ["commit_oid"])
+    return named(trees.exact_renames(changes_of(spark, sf_dir)[2], [*BY, "commit_oid"]), "commit_oid")
 
 
 @query("WITH r AS (SELECT 'd' || CAST(l_suppkey % 9 AS VARCHAR) AS old_dir, 'e' || CAST(l_partkey % 4 AS VARCHAR) AS new_dir FROM lineitem), n AS (SELECT old_dir, new_dir, count(*) AS votes FROM r GROUP BY 1, 2), b AS (SELECT old_dir, max(votes) AS votes FROM n GROUP BY 1) SELECT old_dir, CASE WHEN count(*) = 1 THEN min(new_dir) END AS new_dir, votes FROM n JOIN b USING (old_dir, votes) GROUP BY 1, 3")
@@ -77,30 +78,33 @@ o AS (SELECT 'commit' AS kind, oid FROM d UNION SELECT 'blob', t.oid FROM t JOIN
 SELECT kind, count(*) AS objects FROM o GROUP BY 1""")
 def object_difference(spark, sf_dir):
     """Objects that some tips reach and others don't, by kind."""
-    reach, t, entries = index_of(spark, sf_dir), tips(spark, sf_dir), relation(spark, sf_dir, "tree_entries")
+    reach, t, held, buckets = index_of(spark, sf_dir), tips(spark, sf_dir), entries(spark, sf_dir), commits(spark, sf_dir)[1]
     key = F.lit("all").alias("key")
-    wanted, had = t.where("author % 4 = 1").select(key, "oid"), t.where("author % 4 = 2")
-    commits = staged(history.walk(reach, wanted, had.select(key, "oid")), "difference")
-    known = had.join(reach, had["oid"] == reach["node"]).select(F.col("ancestor").alias("commit_oid")).distinct()
-    blobs = entries.join(commits.select(F.col("oid").alias("commit_oid")), "commit_oid").select("oid").distinct().join(entries.join(known, "commit_oid").select("oid").distinct(), "oid", "left_anti")
-    return objects.counts_by_kind(commits.select(F.lit("commit").alias("kind"), "oid").unionByName(blobs.select(F.lit("blob").alias("kind"), "oid")))
+    wanted, had = t.where("author % 4 = 1").select("within", key, "oid"), t.where("author % 4 = 2").select("within", key, "oid")
+    new = staged_by(history.walk(reach, wanted, had, BY), "difference", BY, buckets)
+    known = had.join(reach.withColumnRenamed("node", "oid"), [*BY, "oid"]).select("within", F.col("ancestor").alias("commit_oid")).distinct()
+    # A blob's 20 bytes; one row a blob, with whether any known commit has it.
+    of = lambda of_commits, has: held.join(of_commits, [*BY, "commit_oid"]).select(F.unhex("oid").alias("oid"), F.lit(has).alias("has"))
+    both = of(new.select("within", F.col("oid").alias("commit_oid")), False).unionByName(of(known, True))
+    blobs = both.groupBy("oid").agg(F.max("has").alias("has")).where("NOT has")
+    return objects.counts_by_kind(new.select(F.lit("commit").alias("kind"), F.unhex(shown(F.col("oid"))).alias("oid")).unionByName(blobs.select(F.lit("blob").alias("kind"), "oid")))
 
 
 @query(f"WITH {CLOSURE}, m AS (SELECT a, b, min(base) AS base FROM bases GROUP BY 1, 2 HAVING count(*) = 1) SELECT m.a, m.b, m.base FROM m JOIN c l ON l.oid = m.base JOIN c k ON k.oid = m.b WHERE l.author = k.author")
 def fork_points(spark, sf_dir):
     """The log of a line's ref is all commits of the line."""
-    commits = relation(spark, sf_dir, "commits").select("author", "oid")
-    log = tips(spark, sf_dir).select("author", F.col("oid").alias("b")).join(commits, "author").select("b", "oid")
-    return history.fork_points(index_of(spark, sf_dir), tip_pairs(spark, sf_dir), log)
+    log = tips(spark, sf_dir).select("within", "author", F.col("oid").alias("b")).join(commits(spark, sf_dir)[0].select("within", "author", "oid"), ["within", "author"]).select("within", "b", "oid")
+    return named(history.fork_points(index_of(spark, sf_dir), tip_pairs(spark, sf_dir), log, BY), "a", "b", "base")
 
 
 @query(f"WITH {CLOSURE} SELECT DISTINCT t.oid AS tip, r.ancestor AS oid FROM tips t JOIN reach r ON r.node = t.oid JOIN c k ON k.repo = t.repo AND k.seq % 10 = 0 JOIN reach u ON u.node = r.ancestor AND u.ancestor = k.oid")
 def ancestry_path(spark, sf_dir):
     """Of each tip's history, the commits that descend from one of the repository's commits with seq % 10 = 0."""
     reach, t = index_of(spark, sf_dir), tips(spark, sf_dir)
-    marks = relation(spark, sf_dir, "commits").where("seq % 10 = 0").select("repo", F.col("oid").alias("ancestor"))
-    above = reach.join(marks, "ancestor").select("repo", F.col("node").alias("oid")).distinct()
-    return t.select("repo", F.col("oid").alias("tip")).join(reach.withColumnRenamed("node", "tip"), "tip").select("tip", "repo", F.col("ancestor").alias("oid")).join(above, ["repo", "oid"]).select("tip", "oid").distinct()
+    marks = commits(spark, sf_dir)[0].where("seq % 10 = 0 AND repo IS NOT NULL").select("within", F.col("oid").alias("ancestor"))
+    above = reach.join(marks, [*BY, "ancestor"]).select("within", F.col("node").alias("oid")).distinct()
+    below = t.select("within", F.col("oid").alias("tip")).join(reach.withColumnRenamed("node", "tip"), [*BY, "tip"]).select("within", "tip", F.col("ancestor").alias("oid"))
+    return named(below.join(above, [*BY, "oid"], "left_semi").select("within", "tip", "oid"), "tip", "oid")
 
 
 @query("SELECT oid, 'missingEmail' AS id, 'error' AS level FROM @commits c WHERE author % 50 = 0 UNION ALL SELECT oid, 'duplicateParents', 'info' FROM @commits c WHERE seq % 40 = 0 AND parent1 IS NOT NULL")

@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import grouping, history, objects
+from ..plans.buckets import BY, commits, entries
 from ..plans.relations import relation
 from ..registry import query
-from .graph import CHANGES, changes_of
+from .graph import CHANGES, changes_of, named
 
 PATCHES = """p AS MATERIALIZED (SELECT commit_oid AS oid, sha1(string_agg(path || '|' || status || '|' || coalesce(old_oid, '') || '|' || coalesce(new_oid, ''), chr(10) ORDER BY path || '|' || status || '|' || coalesce(old_oid, '') || '|' || coalesce(new_oid, ''))) AS patch FROM ch GROUP BY 1)"""
 
 
 @query("WITH c AS MATERIALIZED (SELECT * FROM @commits x WHERE parent2 IS NOT NULL), t AS MATERIALIZED (SELECT * FROM @tree_entries y), d AS (SELECT oid AS c, unnest([parent1, parent2]) AS p FROM c), q AS (SELECT c, p, path FROM d JOIN t ON commit_oid = c UNION SELECT c, p, path FROM d JOIN t ON commit_oid = p), f AS (SELECT q.*, a.oid AS n, b.oid AS o FROM q LEFT JOIN t a ON a.commit_oid = q.c AND a.path = q.path LEFT JOIN t b ON b.commit_oid = q.p AND b.path = q.path) SELECT c AS commit_oid, path FROM f WHERE n IS DISTINCT FROM o GROUP BY 1, 2 HAVING count(*) = 2")
 def combined_diff(spark, sf_dir):
-    return history.combined_changes(relation(spark, sf_dir, "commits"), relation(spark, sf_dir, "tree_entries"))
+    return named(history.combined_changes(commits(spark, sf_dir)[0], entries(spark, sf_dir), BY), "commit_oid")
 
 
 @query("SELECT path, count(*) AS objects FROM (SELECT oid, min(path) AS path FROM @tree_entries t GROUP BY 1) GROUP BY 1")
@@ -26,9 +27,9 @@ def path_walk(spark, sf_dir):
 @query(f"WITH {CHANGES}, {PATCHES} SELECT c.repo AS key, c.oid, patch FROM c JOIN p ON p.oid = c.oid WHERE c.author % 4 <> 0 AND c.parent2 IS NULL AND NOT EXISTS (SELECT 1 FROM c u JOIN p q ON q.oid = u.oid WHERE u.repo = c.repo AND u.author % 4 = 0 AND q.patch = p.patch)")
 def rebase_plan(spark, sf_dir):
     """Upstream is the first line of each repository, ours the others."""
-    commits, _, changes = changes_of(spark, sf_dir)
-    ranges = commits.select(F.col("repo").alias("key"), F.when(F.col("author") % 4 == 0, "upstream").otherwise("ours").alias("side"), "oid")
-    return history.rebase_plan(commits, changes, ranges).where("patch IS NOT NULL")
+    rows, _, changes = changes_of(spark, sf_dir)
+    ranges = rows.select("within", F.col("repo").alias("key"), F.when(F.col("author") % 4 == 0, "upstream").otherwise("ours").alias("side"), "oid")
+    return named(history.rebase_plan(rows, changes, ranges, BY).where("patch IS NOT NULL"), "oid")
 
 
 @query("SELECT CAST(author AS VARCHAR) AS author, CASE WHEN seq % 10 = 0 THEN sha1(oid) WHEN seq % 10 = 1 THEN sha1(sha1(oid)) ELSE oid END AS oid FROM @commits c")
