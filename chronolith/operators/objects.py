@@ -31,15 +31,13 @@ def union_of_stores(*stores: DataFrame) -> DataFrame:
 
 
 def by_prefix(store: DataFrame, prefixes: DataFrame, least: int = 4) -> DataFrame:
-    """prefixes: (prefix). matches, and the oid where it is the only one. An equi-join on the first `least` digits
-    brings candidates together; shorter prefixes find nothing."""
-    short = F.substring("oid", 1, least).alias("head")
-    candidates = store.select("oid").distinct().select("oid", short)
-    asked = prefixes.distinct().withColumn("head", F.substring("prefix", 1, least))
-    hits = asked.join(candidates, "head", "left").withColumn("hit", F.col("oid").startswith(F.col("prefix")))
-    return hits.groupBy("prefix").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("matches"), F.max(F.when(F.col("hit"), F.col("oid"))).alias("any")).select(
-        "prefix", "matches", F.when(F.col("matches") == 1, F.col("any")).alias("oid")
-    )
+    """prefixes: (prefix). matches, and the oid where it is the only one. Oids are counted by their starts of each length
+    that is asked for, then looked up; prefixes shorter than `least` find nothing."""
+    asked = prefixes.distinct()
+    lengths = sorted(r[0] for r in asked.select(F.length("prefix")).distinct().collect() if r[0] is not None and r[0] >= least)
+    starts = F.array(*[F.when(F.length("oid") >= n, F.substring("oid", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    found = store.select("oid").distinct().select("oid", F.explode(starts).alias("prefix")).where("prefix IS NOT NULL").groupBy("prefix").agg(F.count("*").alias("n"), F.max("oid").alias("any"))
+    return asked.join(found, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("matches"), F.when(F.col("n") == 1, F.col("any")).alias("oid"))
 
 
 def verify(store: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from chronolith import registry
-from chronolith.operators import history
+from chronolith.operators import history, objects, trees
 from chronolith.plans.buckets import BY, commits, entries_of, lines_by_commit, shown
 from chronolith.plans.relations import relation
 from chronolith.plans.stages import staged_by
@@ -53,3 +53,18 @@ def test_no_shuffle_along_edges(spark):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_similarity_of_large_texts(spark):
+    line = "".join(f"{i:063d}\n" for i in range(2000))
+    blobs = spark.createDataFrame([(1, line), (2, line + "x"), (3, "y")], "id bigint, text string")
+    pairs = spark.createDataFrame([(1, 2), (3, 2)], "old_id bigint, new_id bigint")
+    assert [(r["old_id"], r["new_id"]) for r in trees.similarity(pairs, blobs).collect()] == [(1, 2)]
+
+
+def test_prefixes_meet_only_their_own_starts(spark):
+    store = spark.createDataFrame([(x,) for x in ("abcd1", "abcd2", "abcd2", "abce", "fff")], "oid string")
+    asked = spark.createDataFrame([(x,) for x in ("abcd", "abcd2", "abce", "fff", "00000")], "prefix string")
+    got = objects.by_prefix(store, asked)
+    assert rows_of(got) == [("00000", 0, None), ("abcd", 2, None), ("abcd2", 1, "abcd2"), ("abce", 1, "abce"), ("fff", 0, None)]
+    assert "startswith" not in got._jdf.queryExecution().executedPlan().toString().lower()
