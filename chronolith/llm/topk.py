@@ -160,7 +160,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 128,
     # Groups of blocks and of queries are dealt by number: n_groups grows with the rows, and each is of bounded size.
     n_blocks, n_asked = blocks.count(), asked.count()
     n_groups = max(1, -(-n_blocks // group))
-    blocks = blocks.withColumn("g", F.pmod(F.xxhash64("part", "ids"), F.lit(n_groups))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(n_asked - 1, 0)))))
+    # Both sides' keys are of one type: a cogroup deals an int and a bigint of one value to different tasks.
+    blocks = blocks.withColumn("g", F.pmod(F.xxhash64("part", "ids"), F.lit(n_groups)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(n_asked - 1, 0)))))
     asked = asked.withColumn("q", F.pmod(F.xxhash64("part"), F.lit(max(n_asked, 1))).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     lists = asked.groupBy("q", "g").cogroup(blocks.groupBy("q", "g")).applyInPandas(_task(k), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -303,3 +303,24 @@ def test_topk_query_of_repeated_ids(spark, tmp_path):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     got = queries.op3_topk(spark, f"file://{tmp_path}").select("query_id", "rank", "vec_id", "score").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(queries.SQL["op3_topk"]).fetchall())
+
+
+def test_topk_deals_both_sides_alike(spark):
+    """Without one partition for all, queries and blocks of a key have to meet."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(240, 4)))]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(keep, ("61", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, k=3, block=8, group=4, at_once=3).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    cells = [np.floor(64 * np.array(v)).astype(int) for _, v in rows]
+    want = set()
+    for q in range(0, 240, 20):
+        best = sorted((-int(cells[q] @ c), i) for i, c in enumerate(cells) if i != q)[:3]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
