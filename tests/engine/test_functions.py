@@ -245,3 +245,21 @@ def test_nothing_else_imports_the_corpus_operators():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     code = "import sys; sys.modules['chronolith.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 60 and not any(k.startswith('op1') for k in e.queries())"
     subprocess.run(["python", "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_line_origins_take_twice_the_rows_of_the_steps(spark, monkeypatch):
+    """Each round keeps every second version's lines; the rows of all tables together don't grow with the rounds."""
+    made = []
+    keep = blame.staged
+    monkeypatch.setattr(blame, "staged", lambda df, tag: made.append(keep(df, tag)) or made[-1])
+    monkeypatch.setattr(blame, "discard", lambda df: None, raising=False)
+    rng = random.Random(5)
+    rows, text = [], [str(rng.random()) for _ in range(6)]
+    for seq in range(1, 65):
+        rows.append((1, seq, "\n".join(text) + "\n"))
+        text[rng.randrange(1, 6)] = str(rng.random())
+    got = blame.line_origins(spark.createDataFrame(rows, "file bigint, seq bigint, text string")).collect()
+    final = rows[-1][2].splitlines()
+    want = {(1, i, min(s for _, s, t in rows if x in t.splitlines()), i) for i, x in enumerate(final)}
+    assert {tuple(r) for r in got} == want and len(got) == 6
+    assert sum(t.count() for t in made) < 3 * 64 * 6
