@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def no_shuffle_left(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a write made within as soon as it ends, not when the driver happens to collect
+    garbage. Only for writes: their plan is their own and isn't run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with no_shuffle_left(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,10 +60,11 @@ def staged_by(df: DataFrame, tag: str, keys: Sequence[str], buckets: int) -> Dat
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     name = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     at = f"{shared_dir(spark)}/{name}"
-    df.write.format("parquet").bucketBy(buckets, *keys).option("path", at).option("compression", "zstd").saveAsTable(name)
+    with no_shuffle_left(spark):
+        df.write.format("parquet").bucketBy(buckets, *keys).option("path", at).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
-def buckets_for(spark: SparkSession, rows: int, rows_each: int = 100_000) -> int:
+def buckets_for(spark: SparkSession, rows: int, rows_each: int = 20_000) -> int:
     """At least as many as a shuffle's partitions; more for many rows, so that a bucket stays small."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

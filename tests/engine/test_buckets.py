@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -78,3 +79,55 @@ def test_rounds_of_the_closure_leave_one_table(spark, tmp_path, monkeypatch):
     near = history.closure(df, within=BY, buckets=2)
     assert near.count() == 3 * 20 * 21 // 2
     assert len(list(tmp_path.glob("closure*/*.parquet"))) > 0 and len(list(tmp_path.glob("closure*"))) == 1
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for d in local for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    df = spark.range(1000).selectExpr("id % 9 AS within", "id AS oid").repartition(4, "within")
+    held = staged_by(df, "t", BY, 4), stages.staged(df, "t")
+    assert not files() - before
+    assert [x.count() for x in held] == [1000, 1000]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # an action's plan may run again
+
+
+def test_buckets_stay_small(spark):
+    assert stages.buckets_for(spark, 9_000_000) >= 450
+
+
+def test_walk_leaves_one_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "shared_dir", lambda _: f"file://{tmp_path}")
+    steps = spark.createDataFrame([(i % 3, i, i - 3) for i in range(3, 30)], "within bigint, child bigint, parent bigint")
+    start = spark.createDataFrame([(0, 27), (1, 10)], "within bigint, oid bigint")
+    assert sorted(r["oid"] for r in history.reachable(steps, start, within=BY, buckets=2).collect()) == sorted([*range(0, 28, 3), *range(1, 11, 3)])
+    assert len(list(tmp_path.glob("reached*"))) == 1 and not list(tmp_path.glob("frontier*/*.parquet"))  # the last is empty
+
+
+def test_parents_agree(spark):
+    got = commits(spark, DATA)[0].select("seq", shown(F.col("parent1")), shown(F.col("parent2")))
+    assert rows_of(got) == rows_of(relation(spark, DATA, "commits").select("seq", "parent1", "parent2"))
+
+
+def test_renames_and_rebase_read_the_changes_once(spark):
+    rng = random.Random(5)
+    rows = {(k, f"{rng.choice('abc')}/{rng.choice('xyz')}{i % 3}"): (rng.choice("AD"), rng.choice("pq")) for k in range(9) for i in range(14)}
+    held = spark.createDataFrame([(k, p, s, o if s == "D" else None, o if s == "A" else None) for (k, p), (s, o) in rows.items()], "k bigint, path string, status string, old_oid string, new_oid string")
+    want = []
+    for k in range(9):
+        for oid in "pq":
+            gone, came = (sorted(p for (j, p), (s, o) in rows.items() if (j, s, o) == (k, side, oid)) for side in "DA")
+            pairs = []
+            for base in {p.split("/")[1] for p in gone}:
+                pairs += zip([p for p in gone if p.endswith("/" + base)], [p for p in came if p.endswith("/" + base)], strict=False)
+            used = {p for pair in pairs for p in pair}
+            pairs += zip([p for p in gone if p not in used], [p for p in came if p not in used], strict=False)
+            want += [(k, oid, *pair) for pair in pairs]
+    got = trees.exact_renames(held, ["k"])
+    assert rows_of(got) == sorted(want, key=str)
+    assert got._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 1
+    changes = spark.createDataFrame([(1, "a", "M", "x", "y"), (2, "a", "M", "x", "y"), (3, "a", "M", "x", "z"), (5, "a", "M", "x", "w")], "commit_oid bigint, path string, status string, old_oid string, new_oid string")
+    ranges = spark.createDataFrame([("r", "upstream", 1), ("r", "ours", 2), ("r", "ours", 3), ("r", "ours", 4), ("r", "ours", 5), ("s", "ours", 2), ("r", "upstream", 6)], "key string, side string, oid bigint")
+    lone = spark.createDataFrame([(i, 1 if i == 5 else None) for i in range(7)], "oid bigint, parent2 bigint")
+    plan = history.rebase_plan(lone, changes, ranges)
+    assert sorted((r["key"], r["oid"]) for r in plan.collect()) == [("r", 3), ("r", 4), ("s", 2)]
