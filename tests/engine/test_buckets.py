@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -87,6 +88,10 @@ def test_writes_leave_no_shuffle_files(spark):
     before = files()
     df = spark.range(1000).selectExpr("id % 9 AS within", "id AS oid").repartition(4, "within")
     held = staged_by(df, "t", BY, 4), stages.staged(df, "t")
+    for _ in range(100):  # executors are told, not waited for
+        if not files() - before:
+            break
+        time.sleep(0.1)
     assert not files() - before
     assert [x.count() for x in held] == [1000, 1000]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # an action's plan may run again

@@ -324,3 +324,21 @@ def test_topk_deals_both_sides_alike(spark):
         best = sorted((-int(cells[q] @ c), i) for i, c in enumerate(cells) if i != q)[:3]
         want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from chronolith.llm.common import staged
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for d in local for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    held = staged(spark.range(1000).repartition(4, "id"), "t")
+    for _ in range(100):  # executors are told, not waited for
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert held.count() == 1000
