@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import decontaminate, language, line_dedup, minhash, substrings, token_files
+from chronolith.llm import common, decontaminate, language, line_dedup, minhash, substrings, token_files
 from chronolith.llm.common import shingles, word_ids
 from chronolith.llm.graph import components
 
@@ -495,3 +495,21 @@ def test_token_files(spark):
     flat = [len(ids) for r in spark.read.parquet(f"{path}/manifest").orderBy("part").collect() for _, _, ids in token_files.documents_of(path, r["name"], r["width"], 2)]
     assert sum(flat) == start
     assert token_files.read_tokens(spark, token_files.write_tokens(table(spark, []))).count() == 0
+
+
+def test_texts_are_dealt_once_for_all_rounds(spark):
+    """The rounds' joins of pairs with texts shuffled all texts, again in each round, on either side."""
+    texts = common.staged_by(spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc bigint, text string"), "texts", "doc")
+    pairs = spark.createDataFrame([(i, i + 1, [0]) for i in range(0, 40, 2)], "hub bigint, doc bigint, diagonals array<bigint>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans, put = [], substrings.staged
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        substrings.staged = lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or put(df, tag)
+        assert substrings.verified(pairs, texts, 46, 80).count() == 0
+    finally:
+        substrings.staged = put
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    deals = [line.split("hashpartitioning(")[1] for line in plans[0].splitlines() if "Exchange hashpartitioning" in line]
+    scans = [line for line in plans[0].splitlines() if "Bucketed: true" in line]
+    assert len(scans) == 2 and len(deals) <= 5  # pairs by doc, both sides by hub and part, and the distinct hubs
